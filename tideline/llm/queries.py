@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op10_best_fit_packing
+from .sharding import op6_hash_tree_sharding
 from .token_counts import op1_token_counts
 from .token_tables import op8_token_tables
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_hash_tree_sharding": op6_hash_tree_sharding,
     "op8_token_tables": op8_token_tables,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_line_dedup": OP2_SQL,
+    "op4_exact_dedup": OP4_SQL,
+}

@@ -97,8 +97,9 @@ def read_token_tables(manifest: DataFrame, folder: str) -> DataFrame:
                         at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = files.select("file", "base", "n_bytes")
-    return files.repartition(F.col("file")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of its own, which adaptive execution keeps: the manifest is tiny, the files are not
+    files = files.select("file", "base", "n_bytes").repartition(max(1, min(manifest.count(), 10_000)), "file")
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
