@@ -22,14 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import BROADCAST_BYTES, documents, materialize, rows_of, ship
 from .components import components
 
-BLOCK_NODES, BLOCK_SHINGLES = 512, 4_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 128, 2_000_000
 
 
 class _Words(dict):
@@ -267,15 +266,16 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
 
 def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
     """Links between nodes of different sets that span the components."""
-    rep = F.min(F.struct("doc_id", "text_key")).alias("rep")
-    sets = profile.where("n > 0").groupBy("node", "check", "n").agg(rep, F.any_value("parts").alias("parts"))
-    posted = sets.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key"), "n", F.explode("parts").alias("part"))
+    filled = profile.where("n > 0")
+    # one row for each distinct set and task is sent; parts alone are shuffled then
+    posted = filled.groupBy("node", "check").agg(F.any_value("parts").alias("parts")).select("node", F.explode("parts").alias("part"))
     kin = Window.partitionBy("part")
     met = posted.withColumn("hub", F.min("node").over(kin)).withColumn("top", F.max("node").over(kin)).where("hub <> top")
-    met = materialize(met.groupBy("node", "rep_id", "text_key", "n", "hub").agg(F.count("*").alias("shared")), "shared-parts")
+    met = materialize(met.groupBy("node", "hub").agg(F.count("*").alias("shared")), "shared-parts")
     cells = components(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    members = met.groupBy("node", "rep_id", "text_key", "n").agg(F.sum("shared").alias("shared"))
-    members = materialize(members.join(cells.withColumnRenamed("root", "cell"), "node"), "members")
+    members = materialize(met.groupBy("node").agg(F.sum("shared").alias("shared")).join(cells.withColumnRenamed("root", "cell"), "node"), "members")
+    reps = filled.groupBy("node", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")).select("node", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key"))
+    members = materialize(members.join(reps, "node"), "cell-members")
 
     # the sets of these nodes, from one text of each
     wanted = members.select("node", "cell", "n", "shared", F.col("rep_id").alias("_id"), F.col("text_key").alias("_key"))
@@ -328,6 +328,15 @@ def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col:
     return by_hub.unionByName(search(both, t))
 
 
+def rooted_rows(docs: DataFrame, threshold: tuple[int, int], width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n, root) of every row; root: the least node of its component, NULL for an empty set."""
+    t = Threshold(*threshold)
+    profile = profiles(docs, t, width, id_col, text_col)
+    roots = components(materialize(links(docs, profile, t, width, id_col, text_col), "links"))
+    rows = profile.select("doc_id", "text_key", "n", "node").join(roots, "node", "left")
+    return materialize(rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root")), "rooted")
+
+
 def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = (9, 10), width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row, component_id being the smallest doc_id that links reach.
 
@@ -336,16 +345,25 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = (9, 10), width
     other columns are ignored; an empty table gives an empty one. Sets are told apart by 128 bits
     and nodes by 64 bits of a hash of their shingles.
     """
-    t = Threshold(*threshold)
-    profile = profiles(docs, t, width, id_col, text_col)
-    found = materialize(links(docs, profile, t, width, id_col, text_col), "links")
-    roots = components(found)
-    sets = profile.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
-    rooted = materialize(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(rooted.join(least, "root").select("node", "check", "component_id"), "classes")
-    some = profile.where("n > 0").join(classes, ["node", "check"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(profile.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = rooted_rows(docs, threshold, width, id_col, text_col)
+    least = materialize(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    some = rows.where("root IS NOT NULL").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(rows.where("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, threshold: tuple[int, int] = (4, 5), width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: of each component the one of smallest id, then of the
+    least text hash; null ids come last. Rows that repeat its id and text are the same document and stay too;
+    rows without words all stay."""
+    rows = rooted_rows(docs, threshold, width, id_col, text_col).where("root IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    groups = rows.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
+    groups = materialize(groups.select("root", "first"), "near-groups")
+    gone = rows.join(groups, "root").where(order != F.col("first")).select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key")).distinct()
+    gone = materialize(gone, "near-copies")
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    on = (key == F.col("__near_key")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__near_id"))
+    return docs.join(_small(gone, 32), on, "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
