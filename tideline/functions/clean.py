@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,8 +137,6 @@ def to_time_str(c: Column, kind: str = "text") -> Column:
 
 def escape_ascii(c: Column) -> Column:
     """Characters over ASCII as \\uXXXX, pairs of surrogates for those over U+FFFF. An Arrow function."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def escape(s: pd.Series) -> pd.Series:
         def one(x):
@@ -172,8 +171,6 @@ def bytes_to_hex_literal(c: Column) -> Column:
 
 def decode_bytes(c: Column, encodings: Sequence[str] = ("utf-8", "cp1250", "latin-1")) -> Column:
     """The first encoding that decodes the value; with the last, what does not decode is replaced. An Arrow function."""
-    import pandas as pd
-
     tried = tuple(encodings)
 
     @F.pandas_udf(T.StringType())

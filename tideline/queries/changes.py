@@ -209,10 +209,10 @@ def incremental_coalesce_window(spark, sf):
     return _stamped(spark, sf).where(p.coalesce_window(F.col("updated"), F.col("created"), "2001-01-01 00:00:00", "0000-00-00 00:00:00"))
 
 
-@query("WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS a, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS b FROM orders) SELECT o_orderkey, a, b FROM v WHERE coalesce(a, 0) >= 900 OR coalesce(b, 0) >= 900")
+@query("WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS a, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS b FROM orders) SELECT o_orderkey, cast(a AS varchar) AS a, cast(b AS varchar) AS b FROM v WHERE coalesce(a, 0) >= 900 OR coalesce(b, 0) >= 900")
 def incremental_or_window(spark, sf):
     o = orders(spark, sf).select("o_orderkey", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_custkey")).alias("a"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")).alias("b"))
-    return o.where(p.either_window(F.col("a"), F.col("b"), 900))
+    return o.where(p.either_window(F.col("a"), F.col("b"), 900)).select("o_orderkey", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
 @query("SELECT o_orderkey, date_diff('day', DATE '1899-12-30', cast(o_orderdate AS date)) AS day_number FROM orders")
@@ -243,10 +243,10 @@ def projection_surrogate_rename(spark, sf):
     return project(o, cols, "(o_totalprice > 1000)", ("sk", "concat(cast(o_orderkey AS string), '-', o_orderstatus)"), {"o_orderkey": "key"})
 
 
-@query("SELECT s._source, s.id, s.name, s.extra FROM (SELECT 'customers' AS _source, c_custkey AS id, c_name AS name, NULL::BIGINT AS extra FROM customer UNION ALL SELECT 'suppliers', s_suppkey, s_name, s_suppkey % 3 FROM supplier) s")
+@query("SELECT s._source, s.id, s.name, s.extra FROM (SELECT 'customers' AS _source, c_custkey AS id, c_name AS name, NULL::VARCHAR AS extra FROM customer UNION ALL SELECT 'suppliers', s_suppkey, s_name, cast(s_suppkey % 3 AS varchar) FROM supplier) s")
 def multi_source_fan_in(spark, sf):
     c = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 3).alias("extra"))
+    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 3).cast("string").alias("extra"))
     return fan_in({"customers": c, "suppliers": s})
 
 

@@ -86,7 +86,7 @@ def checksum_binary(spark, sf):
     return checksums(read_table(spark, sf, "customer").select(F.encode("c_name", "utf-8").alias("b")), ["b"])
 
 
-_ALL = {"o_orderkey": _numeric("o_orderkey"), "o_custkey": _numeric("o_custkey"), "o_orderstatus": _text("o_orderstatus"), "o_totalprice": _numeric("o_totalprice") | {"nonfinite": "'0'"}, "o_orderdate": _temporal("o_orderdate"), "o_orderpriority": _text("o_orderpriority")}
+_ALL = {"o_orderkey": _numeric("o_orderkey"), "o_custkey": _numeric("o_custkey"), "o_orderstatus": _text("o_orderstatus"), "o_totalprice": _numeric("o_totalprice") | {"nonfinite": "min('0')"}, "o_orderdate": _temporal("o_orderdate"), "o_orderpriority": _text("o_orderpriority")}
 
 
 @query(_sql("orders", **_ALL))

@@ -101,15 +101,15 @@ def _by(col: int, name: str, cast: str) -> str:
     return f"SELECT i, v, r::{cast} AS {name} FROM ({_values([(i, r[0], r[col]) for i, r in enumerate(BATTERY)], 'i, v, r')})"
 
 
-@query(_by(1, "r", "BIGINT"))
+@query(_by(1, "r", "BIGINT::VARCHAR"))
 def to_int_or_none(spark, sf):
-    return _battery(spark).withColumn("r", c.to_int_or_none(F.col("v")))
+    return _battery(spark).withColumn("r", c.to_int_or_none(F.col("v")).cast("string"))
 
 
-@query("SELECT i, d::VARCHAR AS d, r::BIGINT AS r FROM (VALUES (0, '3.00', 3), (1, '3.50', NULL), (2, '0.00', 0)) AS v(i, d, r)")
+@query("SELECT i, d::VARCHAR AS d, r::VARCHAR AS r FROM (VALUES (0, '3.00', 3), (1, '3.50', NULL), (2, '0.00', 0)) AS v(i, d, r)")
 def to_int_or_na(spark, sf):
     rows = spark.createDataFrame([(0, "3"), (1, "3.5"), (2, "-0")], "i int, s string").select("i", F.col("s").cast("decimal(5,2)").alias("x"))
-    return rows.select("i", F.col("x").cast("string").alias("d"), c.to_int_or_na(F.col("x"), "decimal").alias("r"))
+    return rows.select("i", F.col("x").cast("string").alias("d"), c.to_int_or_na(F.col("x"), "decimal").cast("string").alias("r"))
 
 
 @query(_by(2, "r", "VARCHAR"))
@@ -142,10 +142,10 @@ def to_time_str_seconds(spark, sf):
     return spark.createDataFrame([(i, v) for i, (v, _) in enumerate(CLOCK)], "i int, v double").select("i", c.to_time_str(F.col("v"), "float").alias("r"))
 
 
-@query(f"SELECT i, n::BIGINT AS n, s, b FROM ({_values([(i, *r[1:]) for i, r in enumerate(NUMBERS)], 'i, n, s, b')})")
+@query(f"SELECT i, n::BIGINT::VARCHAR AS n, s, b FROM ({_values([(i, *r[1:]) for i, r in enumerate(NUMBERS)], 'i, n, s, b')})")
 def numbers_to_int_text_bool(spark, sf):
     rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(NUMBERS)], "i int, v double")
-    return rows.select("i", c.to_int_or_none(F.col("v"), "float").alias("n"), c.to_str_or_none(F.col("v"), "float").alias("s"), c.to_bool(F.col("v"), "float").alias("b"))
+    return rows.select("i", c.to_int_or_none(F.col("v"), "float").cast("string").alias("n"), c.to_str_or_none(F.col("v"), "float").alias("s"), c.to_bool(F.col("v"), "float").alias("b"))
 
 
 @query("SELECT i, v, r::VARCHAR AS r FROM (" + _values([(i, x[0], None if x[1] is None else str(x[1])) for i, x in enumerate(BATTERY)], "i, v, r") + ")")
@@ -217,7 +217,7 @@ def json_ascii(spark, sf):
     return rows.select("i", c.to_json_text(F.col("s"), True).alias("r"))
 
 
-@query("WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ' ' || o_custkey || ' ' WHEN o_orderkey % 7 = 0 THEN '3.5' ELSE cast(o_custkey AS varchar) END AS n, CASE WHEN o_orderkey % 11 = 0 THEN '0000-00-00' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'ano' ELSE 'maybe' END AS b, CASE WHEN o_orderkey % 5 = 0 THEN '  ' ELSE o_orderpriority END AS t FROM orders) SELECT o_orderkey AS k, CASE WHEN n = '3.5' THEN NULL ELSE cast(trim(n) AS bigint) END AS n, CASE WHEN d = '0000-00-00' THEN NULL ELSE d END AS d, CASE WHEN b = 'ano' THEN true END AS b, CASE WHEN trim(t) <> '' THEN t END AS t, NULL::VARCHAR AS absent, false AS _deleted_in_source, 'now' AS _timestamp FROM x")
+@query("WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ' ' || o_custkey || ' ' WHEN o_orderkey % 7 = 0 THEN '3.5' ELSE cast(o_custkey AS varchar) END AS n, CASE WHEN o_orderkey % 11 = 0 THEN '0000-00-00' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'ano' ELSE 'maybe' END AS b, CASE WHEN o_orderkey % 5 = 0 THEN '  ' ELSE o_orderpriority END AS t FROM orders) SELECT o_orderkey AS k, CASE WHEN n = '3.5' THEN NULL ELSE trim(n) END AS n, CASE WHEN d = '0000-00-00' THEN NULL ELSE d END AS d, CASE WHEN b = 'ano' THEN true END AS b, CASE WHEN trim(t) <> '' THEN t END AS t, NULL::VARCHAR AS absent, false AS _deleted_in_source, 'now' AS _timestamp FROM x")
 def prepare_export(spark, sf):
     k = F.col("o_orderkey")
     rows = read_table(spark, sf, "orders").select(
@@ -228,7 +228,7 @@ def prepare_export(spark, sf):
         F.when(k % 5 == 0, "  ").otherwise(F.col("o_orderpriority")).alias("t"),
         F.lit(1).alias("_mage_tmp"),
     )
-    return c.prepare_export(rows, {"k": "BIGINT", "n": "BIGINT", "d": "DATE", "b": "BOOLEAN", "t": "TEXT", "absent": "TEXT"}, now="now")
+    return c.prepare_export(rows, {"k": "BIGINT", "n": "BIGINT", "d": "DATE", "b": "BOOLEAN", "t": "TEXT", "absent": "TEXT"}, now="now").withColumn("n", F.col("n").cast("string"))
 
 
 # --- names ------------------------------------------------------------------------------------------
