@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import BROADCAST_BYTES, documents, materialize
 
 
 def _lines(text: Column) -> Column:
@@ -77,8 +77,10 @@ def line_dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_co
     drop = materialize(marks.groupBy("doc_id", "lines").agg(F.collect_set("at").alias("drop")), "line-marks")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.transform(_bare_lines(F.col(text_col)), lambda x: F.xxhash64(x)).alias("h"))
     slim = slim.select("doc_id", "text", F.size("h").alias("n_lines"), F.xxhash64("h").alias("lines"))
+    held = drop.agg(F.sum(F.size("drop") * 8 + 64)).first()[0] or 0
     drop = drop.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"), "drop")
-    joined = slim.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lines") == F.col("_lines")), "left")
+    # by size: the marks go to the texts, or beyond the bound both are shuffled, the texts once
+    joined = slim.join(F.broadcast(drop) if held <= BROADCAST_BYTES else drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lines") == F.col("_lines")), "left")
     raw = _lines(F.col("text"))
     # places of the lines that are not blank, then of those that marked windows hold
     places = F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: _bare(F.get(F.col("raw"), i)) != "")
