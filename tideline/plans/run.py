@@ -75,11 +75,13 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
 
     for name, df in chosen.items():
         try:
-            p = plan(name, df, store.read())
+            before = store.read()
+            # the partition follows from the row, so that a changed row moves
+            p = plan(name, df, before.drop("_partition") if before is not None and s.partition else before)
             if p.method == "unchanged" or p.staged is None:
                 rows.append(_row(c, name, p.method, reason=p.fallback_reason))
                 continue
-            out = route(p.target, s.partition) if s.partition and "_partition" not in p.target.columns else p.target
+            out = route(p.target, s.partition) if s.partition else p.target
             version = store.stage(out, ["_partition"] if s.partition else None)
             staged = spark.read.parquet(f"{store.root}/{store.PREFIX}{version}")
             keys = [k for k in ([s.key] if s.key else []) + (["_source"] if method == "full_by_source" else []) if k in staged.columns]
