@@ -73,6 +73,27 @@ def mark_deleted(target: DataFrame, live: DataFrame, key: str, now: str, flag: s
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in target.columns])
 
 
+def sync(target: DataFrame, staged: DataFrame, key: str, hash_column: str, now: str, flag: str = "_deleted_in_source", stamp: str = "_timestamp") -> DataFrame:
+    """What upsert of new and changed rows, revival and deletion marks make together, in one full outer
+    join: each side is shuffled once. staged holds all live rows; keys are unique on both sides."""
+    columns = target.columns
+    s = align(staged, columns, dict(target.dtypes)).select(key_text(F.col(f"`{key}`")).alias("_sk"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_s"))
+    t = target.select(key_text(F.col(f"`{key}`")).alias("_tk"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_t"))
+    live, known = F.col("_sk").isNotNull(), F.col("_tk").isNotNull()
+    fresh = live & (~known | ~F.col(f"_s.`{hash_column}`").eqNullSafe(F.col(f"_t.`{hash_column}`")))
+    old = F.col(f"_t.`{flag}`")
+    moved = F.coalesce((live & old) | (~live & ~old), F.lit(False))
+    out = []
+    for c in columns:
+        kept = F.col(f"_t.`{c}`")
+        if c == flag:
+            kept = F.when(moved, ~old).otherwise(old)
+        elif c == stamp:
+            kept = F.when(moved, F.lit(now)).otherwise(kept)
+        out.append(F.when(fresh, F.col(f"_s.`{c}`")).otherwise(kept).alias(c))
+    return s.join(t, F.col("_sk") == F.col("_tk"), "full_outer").select(*out)
+
+
 def dedup_batches(df: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
     """Rows whose key came in no earlier batch; repeats inside one batch stay, and so do rows without a key
     only if no other key of their batch came before. A minimum by key combines before the shuffle."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..operators.merge import assert_unique
+from ..operators.merge import assert_unique, replace_slice
 from ..operators.partitions import route, unique_key
 from ..sources.store import TargetStore
 from ..sources.tables import project, select_columns
@@ -59,10 +60,8 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
         cols = select_columns(df.columns, list(s.only_columns) or None, list(s.exclude_columns), required_columns(s, df.columns))
         return project(df, cols, surrogate=s.surrogate)
 
-    def plan(name: str, df: DataFrame, target: DataFrame | None) -> st.LoadPlan:
+    def plan(df: DataFrame, target: DataFrame | None) -> st.LoadPlan:
         df = narrowed(df)
-        if method == "full_by_source":
-            return st.full_by_source({name: df}, target, s, stamp, fingerprints.read() if fingerprints else None)
         if method == "incremental":
             return st.incremental(df, target, s, stamp, now)
         if method == "hash":
@@ -73,31 +72,79 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
             return st.parent_incremental(df, target, parents, target_parents, s, stamp, now)
         return st.full(df, target, s, stamp)
 
-    for name, df in chosen.items():
-        try:
-            before = store.read()
-            # the partition follows from the row, so that a changed row moves
-            p = plan(name, df, before.drop("_partition") if before is not None and s.partition else before)
-            if p.method == "unchanged" or p.staged is None:
-                rows.append(_row(c, name, p.method, reason=p.fallback_reason))
-                continue
-            out = route(p.target, s.partition) if s.partition else p.target
-            version = store.stage(out, ["_partition"] if s.partition else None)
-            staged = spark.read.parquet(f"{store.root}/{store.PREFIX}{version}")
-            keys = [k for k in ([s.key] if s.key else []) + (["_source"] if method == "full_by_source" else []) if k in staged.columns]
-            if s.key:
-                assert_unique(staged, unique_key(keys, s.partition))
-            written = p.staged.count()
-            store.publish(version)
-            if p.fingerprints is not None and fingerprints is not None:
-                old = fingerprints.read()
-                kept = old.where(~old["_source"].isin(name)).unionByName(p.fingerprints) if old is not None else p.fingerprints
-                fingerprints.write(kept)
-            rows.append(_row(c, name, p.method, incremental=p.incremental, read=written, written=written, present=written > 0, reason=p.fallback_reason))
-        except Exception as e:  # one source's failure is that source's row
-            failed.append(name)
-            rows.append(_row(c, name, "error", status="error", error=redact(f"{type(e).__name__}: {str(e)[:400]}")))
+    def current() -> DataFrame | None:
+        # the partition follows from the row, so that a changed row moves
+        df = store.read()
+        return df.drop("_partition") if df is not None and s.partition else df
+
+    def write(out: DataFrame, keys: list[str]) -> str:
+        version = store.stage(route(out, s.partition) if s.partition else out, ["_partition"] if s.partition else None)
+        if s.key:
+            assert_unique(store.read_version(version), unique_key(keys, s.partition))
+        return version
+
+    def failure(name: str, e: Exception) -> None:
+        failed.append(name)
+        rows.append(_row(c, name, "error", status="error", error=redact(f"{type(e).__name__}: {str(e)[:400]}")))
+
+    if method == "full_by_source":
+        _slices(spark, c, {n: df for n, df in chosen.items()}, narrowed, current(), store, fingerprints, stamp, write, rows, failure)
+    else:
+        for name, df in chosen.items():
+            try:
+                p = plan(df, current())
+                if p.staged is None:
+                    rows.append(_row(c, name, p.method, reason=p.fallback_reason))
+                    continue
+                version = write(p.target, [s.key] if s.key else [])
+                written = p.rows_staged()
+                p.release()
+                store.publish(version)
+                rows.append(_row(c, name, p.method, incremental=p.incremental, read=written, written=written, present=written > 0, reason=p.fallback_reason))
+            except Exception as e:  # one source's failure is that source's row
+                failure(name, e)
     status = spark.createDataFrame(rows, STATUS)
     if failed:
         raise SourceError(f"{c.table}: {', '.join(failed)} failed", status)
     return status
+
+
+def _slices(spark, c, chosen, narrowed, target, store, fingerprints, stamp, write, rows, failure) -> None:
+    """Each source's slice is staged by itself, so that one may fail alone; then the target is written once,
+    with all slices that succeeded, and published."""
+    s, ready, prints = c.settings, {}, []
+    for name, df in chosen.items():
+        try:
+            parts, new, skipped = st.slice_plans({name: narrowed(df)}, target, s, stamp, fingerprints.read() if fingerprints else None)
+            if skipped:
+                rows.append(_row(c, name, "unchanged"))
+                continue
+            version = store.stage(parts[name])
+            part = store.read_version(version)
+            if s.key:
+                assert_unique(part, [s.key])
+            ready[name] = (version, part)
+            if new is not None:
+                prints.append(new)
+        except Exception as e:
+            failure(name, e)
+    if not ready:
+        return
+    try:
+        out = target
+        for name, (_, part) in ready.items():
+            out = part if out is None else replace_slice(out, part.drop("_source"), name)
+        version = write(out, [s.key, "_source"] if s.key else [])
+        counts = {n: part.count() for n, (_, part) in ready.items()}
+        store.publish(version)
+    except Exception as e:
+        for name in ready:
+            failure(name, e)
+        return
+    if prints and fingerprints is not None:
+        new = reduce(lambda a, b: a.unionByName(b), prints)
+        old = fingerprints.read()
+        fingerprints.write(new if old is None else old.where(~old["_source"].isin(*ready)).unionByName(new))
+    for name, (version, _) in ready.items():
+        store.drop(f"{store.PREFIX}{version}")
+        rows.append(_row(c, name, "full_by_source", read=counts[name], written=counts[name], present=counts[name] > 0))

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,17 @@ class LoadPlan:
     incremental: bool = False
     phases: dict = field(default_factory=dict)
 
+    def rows_staged(self) -> int:
+        """Rows written: from the narrow comparison where there is one."""
+        if self.status is not None:
+            c = d.counts(self.status).first()
+            return c["added"] + c["changed"]
+        return self.staged.count() if self.staged is not None else 0
+
+    def release(self) -> None:
+        if self.status is not None:
+            self.status.unpersist()
+
 
 def prepare(source: DataFrame, s: LoadSettings, now: str) -> DataFrame:
     """Source rows as the target holds them: the hash over the values as read, then flag and stamp; empty text becomes
@@ -85,12 +97,13 @@ def hash_diff(source: DataFrame, target: DataFrame | None, s: LoadSettings, now:
         return full(source, target, s, now, reason)
     staged = prepare(source, s, now)
     now_side = staged.select(key_text(F.col(s.key)).alias("k"), F.col(s.hash_column).alias("h"))
-    status = d.diff(now_side, d.snapshot(target, s.key, hash_column=s.hash_column))
+    # narrow: keys and hashes alone; kept for the decision, the counts and whoever asks for changed rows
+    status = d.diff(now_side, d.snapshot(target, s.key, hash_column=s.hash_column)).persist(StorageLevel.DISK_ONLY)
     if d.reseed_decision(status, target, s.hash_column).first()["reseed"]:
+        status.unpersist()
         return full(source, target, s, now, "reseed")
     moved = staged.join(d.changed_keys(status).select("k"), key_text(F.col(s.key)) == F.col("k"), "left_semi")
-    merged = merge.upsert(target, moved, [s.key])
-    return LoadPlan(merge.mark_deleted(merged, now_side.select("k"), s.key, now), "hash", moved, status, incremental=True)
+    return LoadPlan(merge.sync(target, staged, s.key, s.hash_column, now), "hash", moved, status, incremental=True)
 
 
 def id_watermark(source: DataFrame, target: DataFrame | None, s: LoadSettings, now: str) -> LoadPlan:
@@ -118,6 +131,12 @@ def parent_incremental(source: DataFrame, target: DataFrame | None, parents: Dat
     return LoadPlan(merge.replace_window(target, staged, s.foreign_key, window), "parent_incremental", staged, incremental=True)
 
 
+def slice_plans(sources: Mapping[str, DataFrame], target: DataFrame | None, s: LoadSettings, now: str, before: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame | None, tuple[str, ...]]:
+    """(staged rows by source, fingerprints, sources skipped)."""
+    p = full_by_source(sources, target, s, now, before)
+    return {n: prepare(df, s, now).withColumn("_source", F.lit(n)) for n, df in sources.items() if n not in p.skipped}, p.fingerprints, p.skipped
+
+
 def full_by_source(sources: Mapping[str, DataFrame], target: DataFrame | None, s: LoadSettings, now: str, before: DataFrame | None = None) -> LoadPlan:
     """Each source's slice anew, by its label; slices whose fingerprint is as before, and which the target
     still holds, are skipped. The new fingerprints are the caller's to keep after a success."""

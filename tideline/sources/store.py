@@ -52,6 +52,9 @@ class TargetStore:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{self.PREFIX}{name}")
         return name
 
+    def read_version(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{self.PREFIX}{name}")
+
     def publish(self, name: str) -> None:
         """Makes a staged version the current one. The pointer's number is taken by an exclusive create, so
         of two publishers one fails."""
