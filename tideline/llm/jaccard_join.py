@@ -4,9 +4,11 @@ x and y link when |x & y| >= J |x | y|, so their difference has at most d = (1 -
 members. The join is exact; its steps:
 
 1. Each text becomes its set of 64-bit shingle hashes; equal sets become one node.
-2. Cells. Sets are cut by hash range into d + 3 parts for sizes up to the top of a size band; of two
-   that link, at least three parts are equal, so an equal part joins them into a cell. A part meets the
-   least node of its kind, never all others.
+2. Cells. Sets are cut by hash range into d + 1 + e parts, d being the most for a size band; of two that
+   link, at least e + 1 parts are equal. Parts are ordered by how many sets have them, and each set leaves its e
+   commonest out, as in a prefix filter: the rarest of the parts that two linked sets share is left out by
+   neither. Passages that many texts share make common parts, so they do not join cells. A part
+   meets the least node of its kind, never all others.
 3. Search. Within a cell an inverted index lists the nodes of each shingle. For a query x, T is the least
    overlap that any partner needs. DivideSkip sets the L longest lists apart, merges the short ones,
    keeps the nodes met T - L times, and probes these in the long lists by binary search. A node that is
@@ -104,32 +106,35 @@ class Threshold:
         top = size * self.den // self.num
         return sorted({int(np.searchsorted(self.edges, s, "right")) for s in (size, top)})
 
-    def parts(self, level: int) -> int:
-        """0: only equal sets link there."""
+    def parts(self, level: int) -> tuple[int, int]:
+        """(parts, e) of a level; no parts: only equal sets link there."""
         d = self.differ(int(self.edges[level]) - 1)
-        return d + 3 if d else 0
+        e = max(2, d // 4)
+        return (d + 1 + e, e) if d else (0, 0)
 
 
-def parts_of(s: np.ndarray, t: Threshold) -> np.ndarray:
-    """Hashes of a set's parts at its levels. Empty parts are left out where at most two are, since
-    three parts of linked sets are equal."""
-    out = []
+def parts_of(s: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a set's parts at its levels, and for each its tag: the level, and how many of the level's commonest
+    the set may leave out. Empty parts count as the commonest: e of them are left out here."""
+    out, tags = [], []
     with np.errstate(over="ignore"):
         for level in t.levels(len(s)):
-            m = t.parts(level)
+            m, e = t.parts(level)
             if not m:
                 continue
             part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             sums, which = np.add.reduceat(_mix(s ^ _C), first), part[first]
-            if m - len(first) > 2:
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
+            none = m - len(first)
+            if none > e:
+                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)[e:]
                 sums, which = np.append(sums, np.zeros(len(empty), np.uint64)), np.append(which, empty)
             out.append(_mix(sums * _A + which * _B + np.uint64(level) * _C))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            tags.append(np.full(len(which), level << 24 | max(0, e - none), np.int32))
+    return (np.concatenate(out), np.concatenate(tags)) if out else (np.empty(0, np.uint64), np.empty(0, np.int32))
 
 
-PROFILE = "doc_id long, text_key long, n long, node long, check long, parts array<long>"
+PROFILE = "doc_id long, text_key long, n long, node long, check long, parts array<long>, tags array<int>"
 
 
 def profiles(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -137,16 +142,23 @@ def profiles(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: s
     ship(docs.sparkSession)
 
     def run(batches):
+        seen: set[int] = set()  # sets that this task has cut already: copies send no parts
         for b in rows_of(batches, 4 << 20):
             sets = shingle_sets(b.column(1).to_pylist(), width)
             with np.errstate(over="ignore"):
                 sums = [(_mix(s).sum(dtype=np.uint64), _mix(s ^ _B).sum(dtype=np.uint64)) if len(s) else (np.uint64(0), np.uint64(0)) for s in sets]
-            parts = [parts_of(s, t).view(np.int64) for s in sets]
-            ends = np.cumsum([0] + [len(p) for p in parts])
-            flat = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            parts, tags = [], []
+            for s, (node, _) in zip(sets, sums):
+                new = int(node) not in seen
+                p, g = parts_of(s if new else s[:0], t)
+                parts.append(p.view(np.int64))
+                tags.append(g)
+                if len(seen) < 2_000_000:
+                    seen.add(int(node))
+            ends = pa.array(np.cumsum([0] + [len(p) for p in parts]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (parts, tags)]
             node, check = (np.array([x[i] for x in sums], np.uint64).view(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), lists], ["doc_id", "text_key", "n", "node", "check", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), *lists], ["doc_id", "text_key", "n", "node", "check", "parts", "tags"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -267,10 +279,13 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
 def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
     """Links between nodes of different sets that span the components."""
     filled = profile.where("n > 0")
-    # one row for each distinct set and task is sent; parts alone are shuffled then
-    posted = filled.groupBy("node", "check").agg(F.any_value("parts").alias("parts")).select("node", F.explode("parts").alias("part"))
+    posted = filled.select("node", F.explode(F.arrays_zip("parts", "tags")).alias("x")).select("node", "x.parts", "x.tags").withColumnRenamed("parts", "part").withColumnRenamed("tags", "tag")
     kin = Window.partitionBy("part")
-    met = posted.withColumn("hub", F.min("node").over(kin)).withColumn("top", F.max("node").over(kin)).where("hub <> top")
+    met = posted.withColumn("hub", F.min("node").over(kin)).withColumn("top", F.max("node").over(kin)).withColumn("df", F.count("*").over(kin)).where("hub <> top")
+    place = F.dense_rank().over(Window.partitionBy("node", "tag").orderBy(F.desc("df"), "part"))
+    kept = met.withColumn("place", place).where(F.col("place") > F.col("tag").bitwiseAND((1 << 24) - 1)).select("node", "part")
+    kept = materialize(kept, "rare-parts")
+    met = kept.withColumn("hub", F.min("node").over(kin)).withColumn("top", F.max("node").over(kin)).where("hub <> top")
     met = materialize(met.groupBy("node", "hub").agg(F.count("*").alias("shared")), "shared-parts")
     cells = components(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = materialize(met.groupBy("node").agg(F.sum("shared").alias("shared")).join(cells.withColumnRenamed("root", "cell"), "node"), "members")
