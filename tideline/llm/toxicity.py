@@ -25,7 +25,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Settings:
     """train_rows bounds the labelled rows that the model is fitted on (the least hashes of their
-    identifiers; all, where there are fewer); features bounds the buckets it knows."""
+    identifiers; all, where there are fewer); features bounds the buckets it knows: those that toxic texts
+    have more often than chance, by at least min_z standard deviations."""
 
     buckets: int = 1 << 18
     train_rows: int = 40_000
@@ -33,9 +34,9 @@ class Settings:
     min_documents: int = 3
     min_z: float = 4.0
     factors: int = 8
-    epochs: int = 30
+    epochs: int = 60
     rate: float = 0.02
-    decay: float = 1e-4
+    decay: float = 1e-5
     seed: int = 7
 
 
@@ -163,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
         return Model(settings.buckets, np.empty(0, np.int64), -6.0 if not toxic else 6.0, np.empty(0), np.empty((0, settings.factors)))
     share = toxic / (clean + toxic)
     seen = F.col("clean") + F.col("toxic")
-    z = F.abs(F.col("toxic") - seen * share) / F.sqrt(seen * share * (1 - share))
+    z = (F.col("toxic") - seen * share) / F.sqrt(seen * share * (1 - share))
     best = stats.where((F.col("bucket") >= 0) & (seen >= settings.min_documents) & (z >= settings.min_z)).orderBy(z.desc(), "bucket").limit(settings.features)
     known = np.sort(np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64))
 
