@@ -69,3 +69,28 @@ def test_change_outside_stored_hash_is_counted(base):
 def test_narrowest_key():
     assert cmp.narrowest_key([(["a", "b"], False), (["c"], False), (["d", "e"], True)]) == ["d", "e"]
     assert cmp.narrowest_key([]) is None
+
+
+def test_command_line(base, spark, tmp_path, capsys):
+    import json
+
+    from tideline.__main__ import main
+
+    left, right = f"{tmp_path}/l", f"{tmp_path}/r"
+    base.write.parquet(left)
+    swapped(base).write.parquet(right)
+    assert main(["compare", left, left, "--keys", "id"]) == 0
+    assert main(["compare", left, right, "--keys", "id", "--json"]) == 1
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["first_failed_level"] == 5
+    (tmp_path / "jobs.json").write_text(json.dumps([{"left": left, "right": left, "keys": ["id"]}, {"left": left, "right": f"{tmp_path}/none"}]))
+    assert main(["batch", f"{tmp_path}/jobs.json"]) == 1
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["MATCH"] == 1
+    assert main(["leftovers", f"{tmp_path}/none"]) == 0
+
+
+def test_type_lists():
+    from tideline.functions.clean import date_columns_by_name, date_like_columns, declared_text_types, is_truthy
+
+    assert date_like_columns({"a": "DATETIME2", "b": "int"}) == ["a"] and date_columns_by_name(["Datum", "x"]) == ["Datum"]
+    assert declared_text_types({"a": "int", "b": None, "c": "generated"}) == {"a": "int"}
+    assert is_truthy("Ano") and not is_truthy(None) and not is_truthy("ne")

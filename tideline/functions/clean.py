@@ -207,6 +207,16 @@ def date_columns_by_name(names: Sequence[str]) -> list[str]:
     return [n for n in names if any(h in n.lower() for h in DATE_NAME_HINTS)]
 
 
+def date_like_columns(types: dict[str, str]) -> list[str]:
+    """Columns whose source type is a date or a date with time."""
+    return [c for c, t in types.items() if t.lower() in DATE_LIKE_TYPES]
+
+
+def declared_text_types(types: dict[str, str | None]) -> dict[str, str]:
+    """Source types by column for those that are read as declared: generated and unnamed ones are left out."""
+    return {c: t for c, t in types.items() if t and t.lower() not in ("generated", "nan")}
+
+
 def normalize_carriage_returns(c: Column) -> Column:
     """CR LF becomes LF; a lone CR becomes a space."""
     return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit(" "))
