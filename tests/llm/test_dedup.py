@@ -11,12 +11,12 @@ import numpy as np
 import pytest
 import xxhash
 
+from tideline.llm import components as cc
 from tideline.llm import decontamination as dc
 from tideline.llm import exact_dedup as ex
 from tideline.llm import jaccard_join as jj
 from tideline.llm import line_dedup as ld
 from tideline.llm import sharding as sh
-from tideline.llm.components import components
 from tideline.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -154,7 +154,9 @@ def test_keep_one(make, prose):
     assert jj.keep_one(make(rows).limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [0, 1000])
+def test_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(cc, "TASK_EDGES", task_edges)
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     root = {}
@@ -162,7 +164,7 @@ def test_components(spark):
         ra, rb = root.setdefault(a, a), root.setdefault(b, b)
         if ra != rb:
             root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
-    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict(tuple(r) for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect())
     alone = {a for a, b in edges if a == b} - {x for e in edges if e[0] != e[1] for x in e}
     assert got == {k: v for k, v in root.items() if k not in alone}
 

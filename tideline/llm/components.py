@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
+
+
+#: Distinct edges up to which one task joins them by union-find: 32 MB of numbers. Beyond it the steps are distributed.
+TASK_EDGES = 2_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the least node reachable. Needs no node's
-    neighbours in one place: minima combine before each shuffle, and each step writes its edges."""
+    """(node, root) of every node of edges (a, b): root is the least node reachable. A graph of more than
+    TASK_EDGES edges needs no node's neighbours in one place: minima combine before each shuffle, and each
+    step writes its edges. A smaller one is a bounded input, for which a task takes seconds and each step
+    of the distributed way costs a job."""
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now, seen = materialize(now, "edges"), None
+    if now.count() <= TASK_EDGES:
+        ship(now.sparkSession)
+        return now.repartition(1).mapInArrow(_join_all, "node long, root long")
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
@@ -27,3 +38,22 @@ def components(edges: DataFrame) -> DataFrame:
     # a fixed point is a set of stars: each node but the root has one edge, to the root
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _join_all(batches):
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = list(range(len(nodes)))
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    for i in range(len(root)):  # roots are lower than their members, so one pass flattens
+        root[i] = root[root[i]]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])

@@ -34,10 +34,10 @@ BLOCK_NODES, BLOCK_SHINGLES = 128, 2_000_000
 
 
 class _Words(dict):
-    """Hash of each word met; emptied when it has grown to a million."""
+    """Hash of each word met; emptied when it has grown to 200,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -325,8 +325,11 @@ def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col:
     by_hub = materialize(search(small.unionByName(indexed).unionByName(to_all_blocks(big.where("node = hub"))), t), "links")
     done = by_hub.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rest = big.where("node <> hub").join(done, "node", "left_anti")
-    # shingles that one node of the cell has alone
-    alone = big.select("cell", "node", F.explode("shingles").alias("s")).groupBy("cell", "s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    # shingles that one node of the cell has alone: none of them is the hub's
+    hubs = big.where("node = hub").select("cell", F.col("shingles").alias("hub_set"))
+    held = big.where("node = hub").agg(F.sum("n")).first()[0] * 8
+    apart = big.join(F.broadcast(hubs) if held <= BROADCAST_BYTES else hubs, "cell").select("cell", "node", F.array_except("shingles", "hub_set").alias("apart"))
+    alone = apart.select("cell", "node", F.explode("apart").alias("s")).groupBy("cell", "s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
     alone = alone.where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
     partner = F.greatest(F.ceil(F.col("n") * t.num / F.lit(float(t.den))), F.col("least"))
     need = F.ceil((F.col("n") + partner) * t.num / F.lit(float(t.num + t.den)))
