@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +55,11 @@ def _known(spec: dict) -> bool:
 class Encoder:
     """Ids or counts of whole texts, as the library gives them without added special tokens.
 
-    keep_ids: else only lengths are kept. most: distinct pieces held at most; then the store starts anew.
+    keep_ids: else only lengths are kept. most: distinct pieces held at most; beyond it those met in one batch
+    only are forgotten, and all if that leaves too many.
     """
 
-    def __init__(self, file: str, keep_ids: bool, most: int = 800_000, window: int = 16 << 20):
+    def __init__(self, file: str, keep_ids: bool, most: int = 500_000, window: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.keep_ids, self.most, self.window = keep_ids, most, window
         self.sentencepiece = file.endswith(".model")
@@ -83,6 +85,20 @@ class Encoder:
         self.n = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.met = np.zeros(1 << 16, np.uint8)  # batches that held the piece, 2 at most
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.met[: len(self.at)] > 1)
+        if len(keep) > self.most // 2:
+            return self._clear()
+        names = list(self.at)
+        n, begin = self.n[keep].astype(np.int64), self.begin[keep]
+        ends = np.cumsum(n)
+        if self.keep_ids:
+            self.ids = self.ids[np.repeat(begin - (ends - n), n) + np.arange(n.sum())]
+            self.used = len(self.ids)
+        self.n, self.begin, self.met = self.n[keep], ends - n, np.full(len(keep), 2, np.uint8)
+        self.at = dict(zip([names[i] for i in keep.tolist()], range(len(keep))))
 
     def _add(self, new: list[bytes]) -> None:
         """Encodes pieces not seen before."""
@@ -92,7 +108,7 @@ class Encoder:
             n = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)) if len(e.ids) else np.zeros(len(part), np.int64)
             k, to = len(self.at), len(self.at) + len(part)
             if to > len(self.n):
-                self.n, self.begin = (np.concatenate([x, np.zeros(max(len(x), to), x.dtype)]) for x in (self.n, self.begin))
+                self.n, self.begin, self.met = (np.concatenate([x, np.zeros(max(len(x), to), x.dtype)]) for x in (self.n, self.begin, self.met))
             self.n[k:to] = n
             if self.keep_ids:
                 ids = np.asarray(e.ids, np.uint32)
@@ -164,17 +180,23 @@ class Encoder:
             coded = pieces.dictionary_encode()
             unique = coded.dictionary.to_pylist()
             if len(self.at) > self.most:
-                self._clear()
-            new = [p for p in unique if p not in self.at]
-            if new:
-                self._add(new)
-            g = np.fromiter(map(self.at.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()]
-            n = self.n[g].astype(np.int64)
-            of = np.searchsorted(off, bounds[:-1] + lo, "right") - 1
-            counts += np.bincount(of, n, len(counts)).astype(np.int64)
+                self._forget()
+            known = np.fromiter(map(self.at.get, unique, repeat(-1)), np.int32, len(unique))
+            miss = np.flatnonzero(known < 0)
+            if len(miss):
+                known[miss] = np.arange(len(self.at), len(self.at) + len(miss))
+                self._add([unique[i] for i in miss.tolist()])
+            self.met[known] = np.minimum(self.met[known] + 1, 2)
+            g = known[coded.indices.to_numpy()]
+            n = self.n[g]
+            # ids of the pieces of each text, by running sums at the texts' ends
+            sums = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            first = np.searchsorted(bounds, off[a:b] - lo)
+            inner = np.concatenate([[0], first, [len(n)]])
+            counts[max(0, a - 1) : b] += np.diff(sums[inner])[(0 if a else 1) : b - a + 1]
             if self.keep_ids:
-                ends = np.cumsum(n)
-                where = np.repeat(self.begin[g] - (ends - n), n) + np.arange(ends[-1])
+                where = np.arange(sums[-1], dtype=np.int64 if sums[-1] + self.used >> 31 else np.int32)
+                where += np.repeat((self.begin[g] - sums[:-1]).astype(where.dtype), n)
                 out.append(self.ids[where])
             lo += int(bounds[-1])
         return counts, np.concatenate(out) if out else np.empty(0, np.uint32)

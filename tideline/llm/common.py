@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
     (tests in local mode), a temporary folder that is set as the checkpoint folder."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or _own_dirs.get(sc.applicationId)
+    where = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(sc.applicationId)
     if where is None:
         where = _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tideline-shared-")
         sc.setCheckpointDir(where)

@@ -99,7 +99,7 @@ def cut(docs: DataFrame, tokenizer_file: str, max_tokens: int, id_col: str = "do
 
     def encode(batches):
         enc, chunk, seen = encoder(tokenizer_file, True), task_id(), np.zeros(max_tokens + 1, np.int64)
-        for b in rows_of(batches):
+        for b in rows_of(batches, 16 << 20):
             _, ids = enc.encode(b.column(1))
             rows = []
             for doc, x in zip(b.column(0).to_pylist(), ids):

@@ -49,7 +49,7 @@ def write_token_tables(docs: DataFrame, tokenizer_file: str, folder: str, id_col
             fs.move(temporary, final)
             made.append((shard, len(made), final, table.docs, table.tokens, table.offset))
 
-        for b in rows_of(batches):
+        for b in rows_of(batches, 16 << 20):
             _, ids = enc.encode(b.column(1))
             for doc, x in zip(b.column(0).to_pylist(), ids):
                 if out is None:

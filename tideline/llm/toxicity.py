@@ -64,7 +64,7 @@ def _terms(word: str, buckets: int) -> tuple[int, ...]:
 class Terms:
     """The distinct buckets of a text, by a store of the words met; keep: a lookup of the wanted ones."""
 
-    def __init__(self, buckets: int, known: np.ndarray | None = None, most: int = 1_000_000):
+    def __init__(self, buckets: int, known: np.ndarray | None = None, most: int = 150_000):
         self.buckets, self.most, self.store = buckets, most, {}
         self.place = None if known is None else {int(b): i for i, b in enumerate(known)}
 
@@ -106,18 +106,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, settings:
     rate = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 1 - 1e-4))
     params[0][0] = np.log(rate / (1 - rate))
     m, s, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    size = np.array([len(x) for x in rows], np.int64)
+    begin, every = np.cumsum(size) - size, np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
     for _ in range(settings.epochs if n else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             some = order[at : at + 256]
-            part = [rows[i] for i in some]
-            flat, ends = np.concatenate(part).astype(np.int64), np.cumsum([len(x) for x in part])
+            each, ends = size[some], np.cumsum(size[some])
+            flat = every[np.repeat(begin[some] - (ends - each), each) + np.arange(ends[-1])]
             z, total, v = _logits(params[0][0], params[1], params[2], flat, ends)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) / len(some)
-            each = np.repeat(err, [len(x) for x in part])
-            grads = [np.array([err.sum()]), np.bincount(flat, each, n) + settings.decay * params[1], np.zeros_like(params[2])]
-            np.add.at(grads[2], flat, each[:, None] * (np.repeat(total, [len(x) for x in part], axis=0) - v))
-            grads[2] += settings.decay * params[2]
+            share = np.repeat(err, each)
+            pull = share[:, None] * (np.repeat(total, each, axis=0) - v)
+            grads = [np.array([err.sum()]), np.bincount(flat, share, n) + settings.decay * params[1], np.stack([np.bincount(flat, pull[:, f], n) for f in range(k)], axis=1) + settings.decay * params[2]]
             t += 1
             for p, g, a, b in zip(params, grads, m, s):
                 a *= 0.9
