@@ -103,6 +103,20 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, text:
             at = to
 
 
+def release() -> None:
+    """Gives what a Python worker has freed back to the system: Spark keeps the worker for other stages, whose
+    memory would otherwise add up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it frees as it likes
+
+
 def lengths(a: pa.Array) -> np.ndarray:
     """UTF-8 bytes of each text; 0 for null."""
     import pyarrow.compute as pc

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of, ship, table
+from .common import documents, release, rows_of, ship, table
 
 _WORD = re.compile(r"\w+")
 EPS = 1e-9
@@ -280,6 +280,7 @@ def keep_clean(docs: DataFrame, indexes: list[Index], text_col: str = "text") ->
             number, at = _numbers(index), names.index(text_col)
             for b in rows_of(batches, 2 << 20, at):
                 yield b.filter(pa.array([not x for x in index.leaks([number(t) for t in b.column(at).to_pylist()])], pa.bool_()))
+            release()
 
         return run
 

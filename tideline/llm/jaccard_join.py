@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, documents, materialize, rows_of, ship
+from .common import BROADCAST_BYTES, documents, materialize, release, rows_of, ship
 from .components import components
 
 BLOCK_NODES, BLOCK_SHINGLES = 128, 2_000_000
@@ -159,6 +159,8 @@ def profiles(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: s
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (parts, tags)]
             node, check = (np.array([x[i] for x in sums], np.uint64).view(np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), *lists], ["doc_id", "text_key", "n", "node", "check", "parts", "tags"])
+        _words.clear()
+        release()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -266,6 +268,8 @@ def search(blocks: DataFrame, t: Threshold) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
         made = links() if held else []
+        held = []
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows = blocks.select("cell", "block", "node", "in_index", "in_query", "shingles").repartition("cell", "block").sortWithinPartitions("cell", "block", "node")
@@ -303,6 +307,8 @@ def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col:
             made = [s.view(np.int64) for s in shingle_sets(b.column(1).to_pylist(), width)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in made]), pa.int32()), pa.array(np.concatenate(made)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), lists], ["node", "cell", "n", "shared", "shingles"])
+        _words.clear()
+        release()
 
     held = materialize(picked.mapInArrow(shingles, "node long, cell long, n long, shared long, shingles array<long>"), "cell-sets")
     sizes = held.groupBy("cell").agg(F.count("*").alias("nodes"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max(F.struct("shared", "node")).alias("hub"))

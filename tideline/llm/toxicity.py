@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, rows_of, ship, table
+from .common import documents, materialize, release, rows_of, ship, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -157,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
         some = np.flatnonzero(total.sum(axis=0))
         # bucket -1: the rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[0][some], rows[0])), pa.array(np.append(total[1][some], rows[1]))], ["bucket", "clean", "toxic"])
+        terms.store.clear()
+        release()
 
     stats = materialize(sample.select("text", "label").mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "term-stats")
     rows = stats.where("bucket < 0").agg(F.sum("clean"), F.sum("toxic")).first()
@@ -174,6 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
         for b in batches:
             found = [sorted(terms.of(x)) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "known"])
+        terms.store.clear()
+        release()
 
     got = sample.select("text", "label", "doc_id").mapInArrow(pick, "doc_id long, label int, known array<int>").toArrow().sort_by("doc_id")
     flat = got.column("known").to_pylist()
@@ -195,6 +199,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             z = model.logits(flat, np.cumsum([len(x) for x in found]))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        terms.store.clear()
+        release()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -213,6 +219,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             found = [sorted(terms.of(x)) if x else [] for x in b.column(names.index(text_col)).to_pylist()]
             z = model.logits(np.array([i for x in found for i in x], np.int64), np.cumsum([len(x) for x in found]))
             yield b.filter(pa.array(z < 0))
+        terms.store.clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
