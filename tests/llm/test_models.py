@@ -39,6 +39,21 @@ def test_pairs_are_learned(spark, make, prose):
     assert np.mean([got[i] == y for i, y in held]) > 0.97
 
 
+@pytest.mark.parametrize("toxic", [lambda a, b: a != b, lambda a, b: a and not b])
+def test_pairs_with_neutral_and_mitigating_members(spark, make, prose, toxic):
+    """Two words toxic only one without the other, neither of which tells alone; an insult that a quotation lifts."""
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = prose(12, i).split() + (["insultword"] if a else []) + (["quotedword"] if b else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic(a, b))))
+    model = tx.train(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), usable=F.col("doc_id") % 4 != 0)
+    got = {r["doc_id"]: r["predicted"] for r in tx.score(make(rows), model).collect()}
+    assert np.mean([got[i] == y for i, y in labels if i % 4 == 0]) > 0.95
+
+
 def test_toxicity_edges(spark, make, edge_rows):
     labels = spark.createDataFrame([(4, 0), (5, 1), (6, 0)], "doc_id long, toxic int")
     for model in (tx.train(make(edge_rows), labels), tx.train(make(edge_rows), labels.limit(0)), tx.train(make(edge_rows).limit(0), labels)):

@@ -25,8 +25,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Settings:
     """train_rows bounds the labelled rows that the model is fitted on (the least hashes of their
-    identifiers; all, where there are fewer); features bounds the buckets it knows: those that toxic texts
-    have more often than chance, by at least min_z standard deviations."""
+    identifiers; all, where there are fewer); features bounds the buckets it knows: first those that toxic
+    texts have more often than chance, by at least min_z standard deviations, then, whatever their sign
+    and significance, those of most texts, since a pair's member may say nothing by itself."""
 
     buckets: int = 1 << 18
     train_rows: int = 40_000
@@ -48,8 +49,15 @@ class Model:
     linear: np.ndarray
     factors: np.ndarray
 
-    def logits(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _logits(self.bias, self.linear, self.factors, flat, ends)[0]
+    def logits(self, flat: np.ndarray, ends: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+        """In slices of about `most` terms, which bounds the memory of their factors."""
+        ends, out, at = np.asarray(ends, np.int64), [np.empty(0)], 0
+        while at < len(ends):
+            past = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, past + most, "right")))
+            out.append(_logits(self.bias, self.linear, self.factors, flat[past : ends[to - 1]], ends[at:to] - past))
+            at = to
+        return np.concatenate(out)
 
 
 def _terms(word: str, buckets: int) -> tuple[int, ...]:
@@ -95,11 +103,13 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _logits(bias, linear, factors, flat, ends):
     v = factors[flat]
     s = _sums(v, ends)
-    return bias + _sums(linear[flat], ends) + 0.5 * (s**2 - _sums(v**2, ends)).sum(axis=1), s, v
+    return bias + _sums(linear[flat], ends) + 0.5 * (s**2 - _sums(v**2, ends)).sum(axis=1)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, settings: Settings) -> Model:
-    """Adam on the log loss, minibatches of 256; on the driver, over at most train_rows rows of known buckets."""
+    """Adam on the log loss, minibatches of 256; on the driver, over at most train_rows rows of known buckets.
+
+    A minibatch is a dense matrix of its rows and the known buckets, so that sums over terms are matrix products."""
     rng = np.random.default_rng(settings.seed)
     n, k = len(known), settings.factors
     params = [np.zeros(1), np.zeros(n), rng.normal(0, 0.02, (n, k))]
@@ -107,18 +117,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, settings:
     params[0][0] = np.log(rate / (1 - rate))
     m, s, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     size = np.array([len(x) for x in rows], np.int64)
-    begin, every = np.cumsum(size) - size, np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
+    begin, every = np.cumsum(size) - size, np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int64)
     for _ in range(settings.epochs if n else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             some = order[at : at + 256]
             each, ends = size[some], np.cumsum(size[some])
-            flat = every[np.repeat(begin[some] - (ends - each), each) + np.arange(ends[-1])]
-            z, total, v = _logits(params[0][0], params[1], params[2], flat, ends)
+            x = np.zeros((len(some), n), np.float32)
+            x[np.repeat(np.arange(len(some)), each), every[np.repeat(begin[some] - (ends - each), each) + np.arange(ends[-1])]] = 1
+            sums = x @ np.column_stack([params[1], params[2], (params[2] ** 2).sum(axis=1)]).astype(np.float32)
+            total = sums[:, 1:-1]
+            z = params[0][0] + sums[:, 0] + 0.5 * ((total**2).sum(axis=1) - sums[:, -1])
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) / len(some)
-            share = np.repeat(err, each)
-            pull = share[:, None] * (np.repeat(total, each, axis=0) - v)
-            grads = [np.array([err.sum()]), np.bincount(flat, share, n) + settings.decay * params[1], np.stack([np.bincount(flat, pull[:, f], n) for f in range(k)], axis=1) + settings.decay * params[2]]
+            pull = x.T @ np.column_stack([err, err[:, None] * total]).astype(np.float32)
+            grads = [np.array([err.sum()]), pull[:, 0] + settings.decay * params[1], pull[:, 1:] - params[2] * pull[:, :1] + settings.decay * params[2]]
             t += 1
             for p, g, a, b in zip(params, grads, m, s):
                 a *= 0.9
@@ -168,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
     share = toxic / (clean + toxic)
     seen = F.col("clean") + F.col("toxic")
     z = (F.col("toxic") - seen * share) / F.sqrt(seen * share * (1 - share))
-    best = stats.where((F.col("bucket") >= 0) & (seen >= settings.min_documents) & (z >= settings.min_z)).orderBy(z.desc(), "bucket").limit(settings.features)
+    # strong terms first; then the commonest of all others: neutral and mitigating ones are members of pairs
+    strong = F.when(z >= settings.min_z, z)
+    best = stats.where((F.col("bucket") >= 0) & (seen >= settings.min_documents)).orderBy(strong.desc_nulls_last(), seen.desc(), "bucket").limit(settings.features)
     known = np.sort(np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64))
 
     def pick(batches):
@@ -180,8 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
         release()
 
     got = sample.select("text", "label", "doc_id").mapInArrow(pick, "doc_id long, label int, known array<int>").toArrow().sort_by("doc_id")
-    flat = got.column("known").to_pylist()
-    return fit([np.array(x, np.int64) for x in flat], (got.column("label").to_numpy() > 0).astype(np.float64), known, settings)
+    flat = got.column("known").combine_chunks()
+    ends = flat.value_lengths().to_numpy().cumsum()[:-1]
+    return fit(np.split(flat.flatten().to_numpy(), ends) if len(flat) else [], (got.column("label").to_numpy() > 0).astype(np.float64), known, settings)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
