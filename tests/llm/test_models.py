@@ -119,6 +119,22 @@ def test_models_are_kneser_ney():
     assert total < 1.0 + 1e-9 and total > 0.9
 
 
+def test_tables_in_files_are_whole(spark, make):
+    """More grams than any bound on the model, in many blocks: every statistic is that of all grams."""
+    rng = random.Random(6)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(400)) for _ in range(1100)] + ["abra cadabra \ufb01 \uff21"]
+    k, n = li.distinct(li.grams([li.letters(t) for t in texts])[0])
+    assert len(k) > 400_000
+    want = li.Models(["en"], np.zeros(len(k), np.int64), k, n)
+    got = li.train(make(list(enumerate(texts))))
+    assert got.discounts == want.discounts and got.uniform == want.uniform
+    blocks = li._tabulate(spark.createDataFrame([("en", int(x), int(c)) for x, c in zip(k[::97].view(np.int64), n[::97])], "lang string, gram long, n long"), ["en"], 500)
+    few = li.Models(["en"], np.zeros(len(k[::97]), np.int64), k[::97], n[::97])
+    for a, b in ((got, want), (blocks, few)):
+        a.most = 300  # the store is emptied often
+        assert np.allclose(a.entropies(texts[:5] + ["zebra"] + texts[-3:]), b.entropies(texts[:5] + ["zebra"] + texts[-3:]))
+
+
 def test_distinct_grams_both_ways():
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh é") for _ in range(100_000))

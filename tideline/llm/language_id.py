@@ -9,19 +9,24 @@ where P3 and P2 are alike over continuation counts (in how many left contexts a
 is the share of continuation counts mixed with a uniform one. D = n1 / (n1 + 2 n2). The language of
 least mean -log2 P over the text's characters is predicted; its confidence is a softmax of these
 means at a temperature, and a limit on the mean itself flags texts like none of the languages.
+
+Counts, continuation counts and discounts are taken over all grams, and no gram is dropped: tables of
+any size are sorted files in the shared folder, of which a lookup maps the blocks it needs.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from dataclasses import dataclass
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, rows_of, ship
+from .common import documents, materialize, rows_of, scratch, ship
+from .token_tables import _attempt, _fs
 
 ORDER = 4
 _OTHER = re.compile(r"[\W\d_]+")
@@ -73,94 +78,137 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return at, (sorted_keys[at] == wanted) if len(sorted_keys) else np.zeros(len(wanted), bool)
 
 
-@dataclass
-class Level:
-    """One order: probabilities of the grams of any language, and the back-off weight of contexts.
-    Both are sorted arrays of keys with a column for each language."""
+class Table:
+    """Sorted keys, each with two numbers, in blocks: arrays, or files (path, rows) that are mapped when first needed."""
+
+    def __init__(self, first: np.ndarray, blocks: list, folder: str | None = None):
+        self.first, self.blocks, self.folder, self.open = first, blocks, folder, {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "open": {}}
+
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.folder is None:
+            return self.blocks[b]
+        if b not in self.open:
+            path, n = self.blocks[b]
+            fs, _ = _fs(self.folder)
+            if fs.type_name == "local":
+                raw = np.memmap(path, np.uint8, "r")
+            else:  # a copy in the worker's own folder, which needs no name once it is mapped
+                at, local = tempfile.mkstemp()
+                with fs.open_input_stream(path) as f, os.fdopen(at, "wb") as out:
+                    while part := f.read(8 << 20):
+                        out.write(part)
+                raw = np.memmap(local, np.uint8, "r")
+                os.remove(local)
+            self.open[b] = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.float64).reshape(n, 2)
+        return self.open[b]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The two numbers of each wanted key; zeros for others."""
+        out = np.zeros((len(wanted), 2))
+        which = np.searchsorted(self.first, wanted, "right") - 1
+        for b in np.unique(which[which >= 0]).tolist():
+            some = np.flatnonzero(which == b)
+            keys, values = self._block(b)
+            at, found = _find(keys, wanted[some])
+            out[some[found]] = values[at[found]]
+        return out
+
+
+_NONE = Table(np.empty(0, np.uint64), [])
+_MASK = [np.uint64((1 << 16 * k) - 1) for k in range(ORDER + 1)]
+
 
-    keys: np.ndarray
-    prob: np.ndarray
-    contexts: np.ndarray
-    weight: np.ndarray
+def discount(n1: float, n2: float) -> float:
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
 class Models:
-    """All languages' models over the union of their grams."""
+    """All languages' models: tables of grams (their counts) and of contexts (sum and number of their
+    grams' counts) for each order and language. The costs of grams met are stored, up to `most` grams."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, keys: np.ndarray, counts: np.ndarray):
         """lang (index), keys and counts: order-4 grams of the training texts."""
-        self.langs = langs
-        self.temperature, self.limits = 1.0, np.full(len(langs), np.inf)
-        units = np.unique(keys & np.uint64(0xFFFF))
-        self.uniform = 1.0 / (len(units) + 1)
-        self.levels: list[Level] = []
-        mask = [None] + [np.uint64((1 << 16 * k) - 1) for k in range(1, ORDER + 1)]
-        per = []
+        tables, discounts = {}, {}
         for i in range(len(langs)):
             own = lang == i
-            k, n = keys[own], counts[own].astype(np.float64)
-            order = np.argsort(k)
-            k, n = k[order], n[order]
-            levels = {ORDER: (k, n)}
-            for o in range(ORDER - 1, 0, -1):  # continuation counts: a row for each distinct longer gram
-                kk, nn = np.unique(levels[o + 1][0] & mask[o], return_counts=True)
-                levels[o] = (kk, nn.astype(np.float64))
-            per.append(levels)
-        for o in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([x[o][0] for x in per])) if per else np.empty(0, np.uint64)
-            ctx = np.unique(union >> np.uint64(16))
-            direct, weight = np.zeros((len(union), len(langs))), np.ones((len(ctx), len(langs)))
-            for i, levels in enumerate(per):
-                k, n = levels[o]
+            order = np.argsort(keys[own])
+            k, n = keys[own][order], counts[own][order].astype(np.float64)
+            for o in range(ORDER, 0, -1):  # below the highest, continuation counts: a row for each distinct longer gram
+                if o < ORDER:
+                    k, n = np.unique(k & _MASK[o], return_counts=True)
                 if not len(k):
                     continue
-                n1, n2 = float((n == 1).sum()), float((n == 2).sum())
-                d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+                n = n.astype(np.float64)
+                discounts[o, i] = discount(float((n == 1).sum()), float((n == 2).sum()))
                 c = k >> np.uint64(16)
                 first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                total, kinds = np.add.reduceat(n, first), np.diff(np.append(first, len(c)))
-                weight[_find(ctx, c[first])[0], i] = d * kinds / total
-                direct[_find(union, k)[0], i] = np.maximum(n - d, 0) / np.repeat(total, kinds)
-            lower = self._prob(union & mask[o - 1], o - 1) if o > 1 else np.full((len(union), len(langs)), self.uniform)
-            at, _ = _find(ctx, union >> np.uint64(16))
-            self.levels.append(Level(union, direct + weight[at] * lower, ctx, weight))
+                totals = np.column_stack([np.add.reduceat(n, first), np.diff(np.append(first, len(c)))])
+                tables[o, 0, i] = Table(k[:1], [(k, np.column_stack([n, n]))])
+                tables[o, 1, i] = Table(c[:1], [(c[first], totals)])
+        self._set(langs, tables, discounts, len(np.unique(keys & _MASK[1])))
+
+    @classmethod
+    def of(cls, langs: list[str], tables: dict, discounts: dict, units: int) -> Models:
+        """Of tables by (order, 0 for grams or 1 for contexts, language), discounts by (order, language)."""
+        models = cls.__new__(cls)
+        models._set(langs, tables, discounts, units)
+        return models
+
+    def _set(self, langs, tables, discounts, units, most=1 << 20) -> None:
+        self.langs, self.tables, self.discounts, self.most = langs, tables, discounts, most
+        self.temperature, self.limits = 1.0, np.full(len(langs), np.inf)
+        self.uniform = 1.0 / (units + 1)
+        self.seal()
 
     def _prob(self, keys: np.ndarray, order: int) -> np.ndarray:
         """P of each gram's last character after those before it, for each language."""
-        if order == 0:
-            return np.full((len(keys), len(self.langs)), self.uniform)
-        level = self.levels[order - 1]
-        at, found = _find(level.keys, keys)
-        out = level.prob[at] if len(level.keys) else np.zeros((len(keys), len(self.langs)))
-        if not found.all():
-            miss = np.flatnonzero(~found)
-            c, known = _find(level.contexts, keys[miss] >> np.uint64(16))
-            w = np.where(known[:, None], level.weight[c], 1.0) if len(level.contexts) else np.ones((len(miss), len(self.langs)))
-            out[miss] = w * self._prob(keys[miss] & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-        return out
+        p = np.full((len(keys), len(self.langs)), self.uniform)
+        for o in range(1, order + 1):
+            k = keys & _MASK[o]
+            for i in range(len(self.langs)):
+                n = self.tables.get((o, 0, i), _NONE).find(k)[:, 0]
+                total, kinds = self.tables.get((o, 1, i), _NONE).find(k >> np.uint64(16)).T
+                d, known = self.discounts.get((o, i), 0.5), total > 0  # an unknown context says nothing
+                p[known, i] = (np.maximum(n - d, 0) + d * kinds * p[:, i])[known] / total[known]
+        return p
 
     def seal(self) -> None:
-        """Fixes -log2 P of the known order-4 grams, so that scoring is one lookup for most characters."""
-        self.cost = -np.log2(self.levels[-1].prob).astype(np.float32)
+        """Empties the store of -log2 P of the order-4 grams met, so that scoring is one lookup for most characters."""
+        self.keys, self.cost = np.empty(0, np.uint64), np.empty((0, len(self.langs)), np.float32)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the store holds each gram; those not met before are computed and join it."""
+        at, found = _find(self.keys, keys)
+        if found.all():
+            return at
+        new = np.unique(keys[~found])
+        if len(self.keys) and len(self.keys) + len(new) > self.most:
+            self.seal()
+            return self._places(keys)
+        merged = np.concatenate([self.keys, new])
+        order = np.argsort(merged, kind="stable")
+        if len(self.keys):
+            at = at + np.searchsorted(new, self.keys)[at]
+        cost = np.concatenate([self.cost, -np.log2(self._prob(new, ORDER)).astype(np.float32)])
+        self.keys, self.cost = merged[order], cost[order]
+        at[~found] = np.searchsorted(self.keys, keys[~found])
+        return at
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Mean -log2 P of each text's characters, for each language; 0 for empty texts.
 
-        Each distinct gram of the batch is looked up once; texts then sum what their grams cost."""
+        Each distinct gram is looked up once; texts then sum what their grams cost."""
         keys, n = grams(texts)
-        level = self.levels[-1]
-        at, found = _find(level.keys, keys)
-        miss, back = np.unique(keys[~found], return_inverse=True)
-        cost = self.cost
-        if len(miss):
-            cost = np.concatenate([cost, -np.log2(self._prob(miss, ORDER)).astype(np.float32)])
-            at[~found] = len(level.keys) + back
+        at = self._places(keys)
         ends = np.cumsum(n)
         out = np.zeros((len(texts), len(self.langs)))
         some = np.flatnonzero(n)
         if len(some):
             for i in range(len(self.langs)):
-                out[some, i] = np.add.reduceat(cost[:, i][at], (ends - n)[some], dtype=np.float64) / n[some]
+                out[some, i] = np.add.reduceat(self.cost[:, i][at], (ends - n)[some], dtype=np.float64) / n[some]
         return out
 
     def calibrate(self, texts: list[str], langs: np.ndarray, quantile: float) -> None:
@@ -185,12 +233,12 @@ class Models:
         return best, 1 / np.exp(z).sum(axis=1), h[np.arange(len(h)), best] > self.limits[best]
 
 
-def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_grams: int = 400_000, calibrate_rows: int = 2000, quantile: float = 0.999) -> Models:
+def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate_rows: int = 2000, quantile: float = 0.999) -> Models:
     """Counts the grams of all usable rows with a text and a language (usable: a condition on doc_id).
 
     Each task counts its own rows and sends one row for each gram and language; the sums are one
-    shuffle of those. most_grams bounds the model: the most frequent ones of each language, in which the
-    number of languages is the only other factor; calibrate_rows bounds the texts used to calibrate.
+    shuffle of those, and all tables follow from them by aggregation. The driver sees the discounts and the
+    first key of each block of the tables; calibrate_rows bounds the texts used to calibrate.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -226,12 +274,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
     counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "grams")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    parts = [counted.where(F.col("lang") == x).select("gram", "n").orderBy(F.col("n").desc(), "gram").limit(most_grams).toArrow() for x in langs]
-    lang = np.concatenate([np.full(p.num_rows, i) for i, p in enumerate(parts)]) if parts else np.empty(0, np.int64)
-    keys = np.concatenate([p.column("gram").to_numpy().view(np.uint64) for p in parts]) if parts else np.empty(0, np.uint64)
-    counts = np.concatenate([p.column("n").to_numpy() for p in parts]) if parts else np.empty(0, np.int64)
-    models = Models(langs, lang, keys, counts)
-    models.seal()
+    models = _tabulate(counted, langs)
     if langs:
         least = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibrate_rows)
         some = rows.drop("lang").join(F.broadcast(least), "doc_id").select("text", "lang").toArrow()
@@ -242,6 +285,75 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
     return models
 
 
+def _tabulate(counted: DataFrame, langs: list[str], block_rows: int = 1 << 20) -> Models:
+    """The models of all counted grams (lang, gram, n), their tables in files."""
+    spark = counted.sparkSession
+    if not langs:
+        return Models(langs, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+    level = counted.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int").alias("lang"), "gram", F.col("n").cast("double").alias("n"))
+    made = []
+    for o in range(ORDER, 0, -1):
+        if o < ORDER:  # continuation counts: a row for each distinct longer gram
+            level = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_MASK[o]))).alias("gram")).agg(F.count("*").cast("double").alias("n"))
+            level = materialize(level, f"grams-{o}") if o > 1 else level
+        contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("a"), F.count("*").cast("double").alias("b"))
+        for kind, rows in enumerate((level.select("lang", "gram", F.col("n").alias("a"), F.col("n").alias("b")), contexts)):
+            made.append(rows.select(F.lit(o).alias("level"), F.lit(kind).alias("kind"), "lang", "gram", "a", "b"))
+    every = made[0]
+    for rows in made[1:]:
+        every = every.unionByName(rows)
+    every = materialize(every, "gram-tables")
+    own = every.where("kind = 0").groupBy("level", "lang").agg(F.count_if(F.col("a") == 1).alias("n1"), F.count_if(F.col("a") == 2).alias("n2")).collect()
+    discounts = {(r["level"], r["lang"]): discount(r["n1"], r["n2"]) for r in own}
+    units = every.where("kind = 0 AND level = 1").select("gram").distinct().count()
+    folder = scratch(spark, "gram-blocks")
+
+    def write(batches):
+        fs, root = _fs(folder)
+        fs.create_dir(root, recursive=True)
+        made, held, rows, at = [], [], 0, None
+
+        def close():
+            path = f"{root}/{'-'.join(map(str, at))}-{held[0][0][0]:016x}.{_attempt()}"
+            with fs.open_output_stream(path) as f:
+                for k in range(2):
+                    for part in held:
+                        f.write(part[k].tobytes())
+            made.append((*at, int(held[0][0][:1].view(np.int64)[0]), path, rows))
+
+        for b in batches:
+            ids = np.column_stack([b.column(k).to_numpy() for k in range(3)])
+            keys = b.column(3).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            values = np.column_stack([b.column(k).to_numpy() for k in (4, 5)])
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if begin == end:
+                    continue
+                if held and (at != tuple(ids[begin].tolist()) or rows >= block_rows):
+                    close()
+                    held, rows = [], 0
+                at = tuple(ids[begin].tolist())
+                held.append((keys[begin:end], values[begin:end]))
+                rows += end - begin
+        if held:
+            close()
+        columns = list(zip(*made)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.int64(), pa.string(), pa.int64()])], ["level", "kind", "lang", "first", "path", "n"])
+
+    # grams are unsigned: with the first bit flipped they sort as signed numbers do
+    flipped = every.withColumn("gram", F.col("gram").bitwiseXOR(F.lit(-(1 << 63))))
+    parts = flipped.repartitionByRange("level", "kind", "lang", "gram").sortWithinPartitions("level", "kind", "lang", "gram")
+    listed = materialize(parts.mapInArrow(write, "level int, kind int, lang int, first long, path string, n long"), "gram-index")
+    found: dict[tuple, list] = {}
+    for r in listed.collect():  # a row for each block
+        found.setdefault((r["level"], r["kind"], r["lang"]), []).append((r["first"] % (1 << 64), (r["path"], r["n"])))
+    tables = {}
+    for at, blocks in found.items():
+        blocks.sort()
+        tables[at] = Table(np.array([x for x, _ in blocks], np.uint64), [x for _, x in blocks], folder)
+    return Models.of(langs, tables, discounts, units)
+
+
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every whole text. Null texts and texts without a letter
     are `und` with score 0; so is every text where no language was learned. Ties go to the language
