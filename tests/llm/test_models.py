@@ -154,6 +154,13 @@ def test_language_edges(make, edge_rows):
     assert [r["lang_pred"] for r in li.identify(digits, models).orderBy("doc_id").collect()] == ["und", "en"]
 
 
+def test_seldom_languages_have_limits(make, prose):
+    rows = [(i, prose(5, i)) for i in range(60)] + [(99, "žluťoučký kůň pěl")]
+    docs = make(rows).withColumn("lang", F.when(F.col("doc_id") == 99, "cs").otherwise("en"))
+    for rows in range(1, 4):
+        assert np.isfinite(li.train(docs, calibrate_rows=rows).limits).all()
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = li.train(docs, usable=li.fold() != 2)

@@ -22,7 +22,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, rows_of, scratch, ship
@@ -238,7 +238,8 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
 
     Each task counts its own rows and sends one row for each gram and language; the sums are one
     shuffle of those, and all tables follow from them by aggregation. The driver sees the discounts and the
-    first key of each block of the tables; calibrate_rows bounds the texts used to calibrate.
+    first key of each block of the tables; calibrate_rows bounds the texts used to calibrate, of all languages
+    together and again in equal shares for each, so that each language of texts with an identifier has a limit.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -276,12 +277,19 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     models = _tabulate(counted, langs)
     if langs:
-        least = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibrate_rows)
-        some = rows.drop("lang").join(F.broadcast(least), "doc_id").select("text", "lang").toArrow()
         at = {x: i for i, x in enumerate(langs)}
-        texts = [letters(t) for t in some.column("text").to_pylist()]
-        use = [i for i, t in enumerate(texts) if t and some.column("lang")[i].as_py() in at]
-        models.calibrate([texts[i] for i in use], np.array([at[some.column("lang")[i].as_py()] for i in use], np.int64), quantile)
+        named = rows.where(F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+        everywhere = named.orderBy("draw", "doc_id").limit(calibrate_rows).withColumn("whole", F.lit(True))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+        each = named.withColumn("rank", rank).where(F.col("rank") <= -(-calibrate_rows // len(langs))).drop("rank").withColumn("whole", F.lit(False))
+        least = everywhere.unionByName(each).groupBy("doc_id", "lang").agg(F.max("whole").alias("whole"))
+        some = rows.join(F.broadcast(least), ["doc_id", "lang"]).select("text", "lang", "whole").toArrow()
+        use = [(letters(t), at[x], w) for t, x, w in zip(*(some.column(k).to_pylist() for k in range(3))) if letters(t) and x in at]
+        # the temperature is of all rows alike; limits also need rows of languages that are seldom
+        for part in ([u for u in use if u[2]], use):
+            temperature = models.temperature
+            models.calibrate([u[0] for u in part], np.array([u[1] for u in part], np.int64), quantile)
+        models.temperature = temperature
     return models
 
 
