@@ -1,7 +1,10 @@
 """Operators 1, 8 and 10 against the library, text by text."""
 
 import io
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -188,3 +191,38 @@ def test_packing(make, edge_rows):
         cuts = [0, *range(first, len(a) + 1, 2048)]
         want += [(i if i is not None else -99, k, s, e - s, zlib.crc32(a[s:e].tobytes())) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
     assert sorted((-99 if r["doc_id"] is None else r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+
+
+def test_memory_of_a_worker_is_bounded():
+    """64 MB of invented words, encoded as a task does, take less than 250 MB beside the tokenizer."""
+    code = """
+import re, random, string, threading, time
+import pyarrow as pa
+from tideline.llm import bpe, common
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+rng = random.Random(5)
+words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(400_000)]
+enc = bpe.Encoder(bpe.public_file("byte_bpe_50k.json"), True)
+common.release()
+base, most, go = held(), 0, True
+def watch():
+    global most
+    while go:
+        most = max(most, held())
+        time.sleep(0.02)
+t = threading.Thread(target=watch)
+t.start()
+done = 0
+while done < 64 << 20:
+    batch = pa.record_batch([pa.array([" ".join(rng.choices(words, k=1200)) for _ in range(500)])], ["text"])
+    for b in common.rows_of(iter([batch]), 4 << 20, 0):
+        enc.encode(b.column(0))
+        done += int(common.lengths(b.column(0)).sum())
+go = False
+t.join()
+print(most - base)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)})
+    assert got.returncode == 0, got.stderr
+    assert float(got.stdout.split()[-1]) < 250

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import flat
 
@@ -59,7 +59,7 @@ class Encoder:
     only are forgotten, and all if that leaves too many.
     """
 
-    def __init__(self, file: str, keep_ids: bool, most: int = 500_000, window: int = 16 << 20):
+    def __init__(self, file: str, keep_ids: bool, most: int = 500_000, window: int = 2 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.keep_ids, self.most, self.window = keep_ids, most, window
         self.sentencepiece = file.endswith(".model")
@@ -81,43 +81,40 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.n = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
-        self.met = np.zeros(1 << 16, np.uint8)  # batches that held the piece, 2 at most
+        self.store = pa.array([], pa.large_binary())  # the pieces known; their places are those of the arrays below
+        self.n = np.zeros(0, np.int32)
+        self.begin = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.met = np.zeros(0, np.uint8)  # batches that held the piece, 2 at most
 
     def _forget(self) -> None:
-        keep = np.flatnonzero(self.met[: len(self.at)] > 1)
+        keep = np.flatnonzero(self.met > 1)
         if len(keep) > self.most // 2:
             return self._clear()
-        names = list(self.at)
         n, begin = self.n[keep].astype(np.int64), self.begin[keep]
         ends = np.cumsum(n)
         if self.keep_ids:
             self.ids = self.ids[np.repeat(begin - (ends - n), n) + np.arange(n.sum())]
-            self.used = len(self.ids)
         self.n, self.begin, self.met = self.n[keep], ends - n, np.full(len(keep), 2, np.uint8)
-        self.at = dict(zip([names[i] for i in keep.tolist()], range(len(keep))))
+        self.store = self.store.take(pa.array(keep))
 
-    def _add(self, new: list[bytes]) -> None:
+    def _add(self, new: pa.Array) -> None:
         """Encodes pieces not seen before."""
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            e = self.tok.encode([p.decode() for p in part], is_pretokenized=True, add_special_tokens=False)
-            n = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)) if len(e.ids) else np.zeros(len(part), np.int64)
-            k, to = len(self.at), len(self.at) + len(part)
-            if to > len(self.n):
-                self.n, self.begin, self.met = (np.concatenate([x, np.zeros(max(len(x), to), x.dtype)]) for x in (self.n, self.begin, self.met))
-            self.n[k:to] = n
+        counts, ids = [self.n], [self.ids]
+        for i in range(0, len(new), 10_000):
+            part = new.slice(i, 10_000).cast(pa.large_string()).to_pylist()
+            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            counts.append(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)).astype(np.int32) if len(e.ids) else np.zeros(len(part), np.int32))
             if self.keep_ids:
-                ids = np.asarray(e.ids, np.uint32)
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.begin[k:to] = self.used + np.cumsum(n) - n
-                self.used += len(ids)
-            self.at.update(zip(part, range(k, to)))
+                ids.append(np.asarray(e.ids, np.uint32))
+        self.n = np.concatenate(counts)
+        if self.keep_ids:
+            self.ids = np.concatenate(ids)
+            self.begin = np.cumsum(self.n, dtype=np.int64) - self.n
+        else:
+            self.begin = np.zeros(len(self.n), np.int64)
+        self.met = np.append(self.met, np.zeros(len(new), np.uint8))
+        self.store = pa.concat_arrays([self.store, new])
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         if self.sentencepiece:
@@ -178,14 +175,13 @@ class Encoder:
             size = self.window
             pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw[lo:hi])])
             coded = pieces.dictionary_encode()
-            unique = coded.dictionary.to_pylist()
-            if len(self.at) > self.most:
+            if len(self.store) > self.most:
                 self._forget()
-            known = np.fromiter(map(self.at.get, unique, repeat(-1)), np.int32, len(unique))
+            known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.store), -1).to_numpy().copy()
             miss = np.flatnonzero(known < 0)
             if len(miss):
-                known[miss] = np.arange(len(self.at), len(self.at) + len(miss))
-                self._add([unique[i] for i in miss.tolist()])
+                known[miss] = np.arange(len(self.store), len(self.store) + len(miss))
+                self._add(coded.dictionary.take(pa.array(miss)))
             self.met[known] = np.minimum(self.met[known] + 1, 2)
             g = known[coded.indices.to_numpy()]
             n = self.n[g]
@@ -195,7 +191,7 @@ class Encoder:
             inner = np.concatenate([[0], first, [len(n)]])
             counts[max(0, a - 1) : b] += np.diff(sums[inner])[(0 if a else 1) : b - a + 1]
             if self.keep_ids:
-                where = np.arange(sums[-1], dtype=np.int64 if sums[-1] + self.used >> 31 else np.int32)
+                where = np.arange(sums[-1], dtype=np.int64 if sums[-1] + len(self.ids) >> 31 else np.int32)
                 where += np.repeat((self.begin[g] - sums[:-1]).astype(where.dtype), n)
                 out.append(self.ids[where])
             lo += int(bounds[-1])

@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(sc.applicationId)
     if where is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tideline-shared-")
         sc.setCheckpointDir(where)
         atexit.register(_drop, where.removeprefix("file://"))
@@ -70,8 +72,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both hold one, for each task at work.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, unless they find it by PYTHONPATH or their folder."""
+    """Readies the session for Arrow functions: bounds the bytes of their batches, where that is still Spark's
+    default, and sends this package to the executors, unless they find it by PYTHONPATH or their folder."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64MB") in ("64MB", "67108864b", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     known = [os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()] if p is not None]
     sc = spark.sparkContext

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, public_file
-from .common import documents, materialize, rows_of, ship, task_id
+from .common import documents, materialize, release, rows_of, ship, task_id
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long"
 
@@ -99,19 +99,31 @@ def cut(docs: DataFrame, tokenizer_file: str, max_tokens: int, id_col: str = "do
 
     def encode(batches):
         enc, chunk, seen = encoder(tokenizer_file, True), task_id(), np.zeros(max_tokens + 1, np.int64)
-        for b in rows_of(batches):
-            _, ids = enc.encode(b.column(1))
-            rows = []
-            for doc, x in zip(b.column(0).to_pylist(), ids):
-                x = x if end_id is None else np.append(x, np.uint32(end_id))
-                begin, to, k = 0, len(x) % max_tokens or min(len(x), max_tokens), 0
-                while to > begin or (k == 0 and not len(x)):
-                    n = to - begin
-                    rows.append((doc, k, begin, n, zlib.crc32(x[begin:to].astype("<u4")), chunk, int(seen[n])))
-                    seen[n] += 1
-                    begin, to, k = to, min(to + max_tokens, len(x)), k + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"])
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        for b in rows_of(batches, 4 << 20):
+            n, ids = enc.encode(b.column(1))
+            n = n + (end_id is not None)
+            # a text's pieces: the first takes what is over, the others are whole; an empty text is one piece
+            pieces = np.maximum(1, -(-n // max_tokens))
+            of = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            head = n - (pieces - 1) * max_tokens
+            length = np.where(piece == 0, head[of], max_tokens)
+            start = np.where(piece == 0, 0, head[of] + (piece - 1) * max_tokens)
+            crc = np.empty(len(of), np.int64)
+            for k, (i, begin, size) in enumerate(zip(of.tolist(), start.tolist(), length.tolist())):
+                x = ids[i][begin : begin + size].astype("<u4")
+                c = zlib.crc32(x)
+                crc[k] = c if len(x) == size else zlib.crc32(end, c)
+            # nth: how many pieces of that length the task made before
+            order = np.argsort(length, kind="stable")
+            kinds, first, times = np.unique(length[order], return_index=True, return_counts=True)
+            nth = np.empty(len(of), np.int64)
+            nth[order] = np.arange(len(of)) - np.repeat(first, times) + seen[length[order]]
+            seen[kinds] += times
+            ids_of = b.column(0).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(of), chunk, np.int32)), pa.array(nth)], ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"])
+        release()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(encode, PIECES)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, public_file
-from .common import documents, materialize, rows_of, scratch, ship, task_id
+from .common import documents, materialize, release, rows_of, scratch, ship, task_id
 from .sstable import Reader, Writer
 
 MANIFEST = "shard int, part int, file string, n_docs long, n_tokens long, n_bytes long"
@@ -49,7 +49,7 @@ def write_token_tables(docs: DataFrame, tokenizer_file: str, folder: str, id_col
             fs.move(temporary, final)
             made.append((shard, len(made), final, table.docs, table.tokens, table.offset))
 
-        for b in rows_of(batches, 16 << 20):
+        for b in rows_of(batches, 4 << 20):
             _, ids = enc.encode(b.column(1))
             for doc, x in zip(b.column(0).to_pylist(), ids):
                 if out is None:
@@ -65,6 +65,7 @@ def write_token_tables(docs: DataFrame, tokenizer_file: str, folder: str, id_col
                     out = None
         if out is not None:
             close()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "part", "file", "n_docs", "n_tokens", "n_bytes"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -88,6 +89,10 @@ def read_token_tables(manifest: DataFrame, folder: str) -> DataFrame:
 
     def read(batches):
         fs, _ = _fs(folder)
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
         for b in batches:
             for path, base, size in zip(*(b.column(i).to_pylist() for i in range(3))):
                 rows, at = [], base
@@ -95,7 +100,11 @@ def read_token_tables(manifest: DataFrame, folder: str) -> DataFrame:
                     for doc, ids in Reader(f, size).scan():
                         rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4"))))
                         at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == 4096:
+                            yield made(rows)
+                            rows = []
+                yield made(rows)
+        release()
 
     # a number of its own, which adaptive execution keeps: the manifest is tiny, the files are not
     files = files.select("file", "base", "n_bytes").repartition(max(1, min(manifest.count(), 10_000)), "file")
