@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tideline.llm import components as cc
 from tideline.llm import decontamination as dc
@@ -169,10 +170,19 @@ def test_components(spark, monkeypatch, task_edges):
     assert got == {k: v for k, v in root.items() if k not in alone}
 
 
+def test_sets_of_one_node_are_parted(spark, make):
+    """Forced collisions of the first hash: the second tells the sets apart, equal sets stay one node."""
+    rows = [(1, 5, 7), (2, 5, 8), (3, 5, 7), (4, 6, 9), (5, 0, 0)]
+    df = spark.createDataFrame([(i, i, 3, n, c, [n], [0]) for i, n, c in rows], jj.PROFILE)
+    got = {r["doc_id"]: r["node"] for r in jj.part_collisions(df).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 6 and got[5] == 0
+
+
 # --- line dedup -----------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, window):
+def brute_lines(rows, window, long_words=50):
+    """Windows of lines, and single lines of many words; in order of id and line, a null id first."""
     docs = {}
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -187,6 +197,12 @@ def brute_lines(rows, window):
                 gone[key] |= set(range(at, min(at + window, len(b))))
             else:
                 seen[w] = key
+        for at in range(len(b) if len(b) > 1 and window > 1 else 0):
+            if len(re.findall(r"[^ \t\x0b\f\r]+", b[at])) >= long_words:
+                if (b[at],) in seen:
+                    gone[key].add(at)
+                else:
+                    seen[(b[at],)] = key
     out = []
     for i, t in rows:
         lines, places, b = docs[(i, t)]
@@ -199,11 +215,31 @@ def brute_lines(rows, window):
 def test_line_dedup(make, edge_rows, window):
     rng = random.Random(window)
     pool = [f"line {k} " for k in range(14)]
-    rows = [r for r in edge_rows if r[0] is not None] + [(100 + i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    rows = [r for r in edge_rows] + [(100 + i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randint(1, 12)))) for i in range(60)]
     got = [tuple(r) for r in ld.line_dedup(make(rows), window).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_lines(rows, window)))
 
 
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_long_lines_are_found_between_any_neighbours(make, window):
+    """A line of five words or more is a window by itself: alone in a text, between other lines, twice in one text; shorter ones are not."""
+    long = ["one two three four five", "a  b\tc d e f", "one two three four"]
+    rows = [(3, f"x\n{long[0]}\ny"), (1, long[0]), (2, f" {long[1]}\r\nz"), (4, f"q\n{long[1]}"), (5, long[1]), (6, f"u\n{long[0]}\nv\n{long[0]}"), (7, f"k\n{long[2]}"), (8, f"{long[2]}\nl"), (9, long[2])]
+    got = [tuple(r) for r in ld.line_dedup(make(rows), window, long_words=5).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_lines(rows, window, 5)))
+    if window == 2:
+        assert {r[0]: r[2] for r in got} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 0, 8: 0, 9: 0}
+
+
+def test_windows_of_one_hash_are_told_apart(make, monkeypatch):
+    """Lines whose first hashes are all equal: the second hash decides."""
+    monkeypatch.setattr(ld, "_hashes", lambda x: (F.length(x).cast("long") * 0, F.xxhash64(F.lit(1), x)))
+    rows = [(1, "a\nb\nc"), (2, "d\ne\nf"), (3, "q\nb\nc"), (4, "a\nb")]
+    assert ld.windows(make(rows), 2, "doc_id", "text").select("match").distinct().count() == 1
+    got = [tuple(r) for r in ld.line_dedup(make(rows), 2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_lines(rows, 2)))
+
+
 def test_line_runs_and_nulls(make):
     text = "a\nb\nc\nd\ne"
     rows = [(1, text), (2, "x\n" + text + "\ny"), (3, None), (None, "q\nr\ns"), (None, None)]
@@ -217,21 +253,17 @@ def test_line_runs_and_nulls(make):
 
 
 def python_shard(doc_id, tree):
-    def draw(level, node, weight):
+    def draw(leaf):
         seed = 42
         if doc_id is not None:
             seed = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed)
-        seed = xxhash.xxh64_intdigest(struct.pack("<I", level), seed)
-        seed = xxhash.xxh64_intdigest(struct.pack("<q", node), seed)
-        return -np.log(((seed >> 11) + 0.5) / 2**53) / weight
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", leaf.shard), seed)
+        return -np.log(((seed >> 11) + 0.5) / 2**53) / leaf.weight
 
     leaves = [x for x in tree if x.weight > 0]
-    for level, name in enumerate(("region", "rack", "shard")):
-        weights = defaultdict(float)
-        for x in leaves:
-            weights[getattr(x, name)] += x.weight
-        best = min(weights, key=lambda k: (draw(level, k, weights[k]), k))
-        leaves = [x for x in leaves if getattr(x, name) == best]
+    for name in ("region", "rack", "shard"):
+        best = min(leaves, key=lambda x: (draw(x), x.shard))
+        leaves = [x for x in leaves if getattr(x, name) == getattr(best, name)]
     return leaves[0].shard
 
 
@@ -257,11 +289,22 @@ def test_weights_move_rows_within_their_subtree(make):
     rows = [(k, "") for k in range(4000)]
     tree = sh.regular_tree(8)
     heavier = [sh.Leaf(x.region, x.rack, x.shard, 2.0 if x.shard == 5 else 1.0) for x in tree]
-    for r in sh.assign(make(rows), tree, heavier).collect():
-        if r["shard"] != r["grown_shard"]:
-            assert r["grown_shard"] in (4, 5, 6, 7)  # the region whose weight grew
-            if r["shard"] in (4, 5, 6, 7):
-                assert r["grown_shard"] in (4, 5)  # its rack
+    gone = [sh.Leaf(x.region, x.rack, x.shard, 0.0 if x.shard == 5 else 1.0) for x in tree]
+    got = sh.assign(make(rows), tree, heavier).collect()
+    assert {r["grown_shard"] for r in got if r["shard"] != r["grown_shard"]} == {5}
+    assert 0.18 < np.mean([r["grown_shard"] == 5 for r in got]) < 0.27  # two of nine
+    for r in sh.assign(make(rows), tree, gone).collect():
+        assert r["shard"] == r["grown_shard"] if r["shard"] != 5 else r["grown_shard"] != 5
+
+
+def test_each_further_shard_takes_rows_only_into_itself(spark):
+    """Law `key`, at every number of shards; shares stay in proportion."""
+    ids = spark.range(6000)
+    got = ids.select(*[sh.descend(F.col("id"), sh.regular_tree(n)).alias(str(n)) for n in range(1, 18)]).toPandas()
+    for n in range(1, 17):
+        moved = got[str(n)] != got[str(n + 1)]
+        assert (got[str(n + 1)][moved] == n).all() and moved.any()
+        assert got[str(n + 1)].value_counts().min() > 0.75 * 6000 / (n + 1)
 
 
 # --- benchmark decontamination ---------------------------------------------------------------------------------
@@ -327,3 +370,22 @@ def test_no_benchmark(spark, make):
     assert dc.contaminated(make([(1, "a b c d e f")]), empty).count() == 0
     assert dc.keep_clean(make([(1, "a b c d e f"), (None, None)]), empty).count() == 2
     assert dc.contaminated(make([(1, "a")]).limit(0), empty).count() == 0
+
+
+def test_screen_against_brute_force(monkeypatch):
+    """The screen's sums, in runs of a few pairs, against a dense table of passages and items; items of common words too."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    index = dc.Index([(k, " ".join(rng.choice(words[: 300 if k % 3 else 40]) for _ in range(rng.randint(1, 20))), None) for k in range(150)])
+    index.always = False
+    of = np.array([rng.randrange(40) for _ in range(3000)])
+    numbers = np.array([rng.randrange(0, len(index.vocabulary) + 1) for _ in of])
+    reach = np.zeros((40, len(index.ids)))
+    for p, w in zip(of, numbers):
+        for k in range(index.rare_begin[w], index.rare_begin[w] + index.rare_count[w]):
+            reach[p, index.rare_items[k]] += index.rare_share[k]
+    want = np.flatnonzero((reach >= 1 - 1e-6).any(axis=1)).tolist()
+    for pairs in (1, 50, 1 << 20):
+        monkeypatch.setattr(dc, "PAIRS", pairs)
+        assert index.screen(of, numbers, 40).tolist() == want and want
+    assert not len(index.screen(np.empty(0, np.int64), np.empty(0, np.int64), 0))

@@ -29,6 +29,8 @@ from .common import documents, release, rows_of, ship, table
 
 _WORD = re.compile(r"\w+")
 EPS = 1e-9
+#: Pairs of passage and item that a screen sums at once.
+PAIRS = 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -114,13 +116,28 @@ class Index:
         if self.always:
             return np.arange(passages)
         n = self.rare_count[words]
-        total = int(n.sum())
-        if not total:
-            return np.empty(0, np.int64)
-        at = np.repeat(self.rare_begin[words] - (np.cumsum(n) - n), n) + np.arange(total)
-        pair = np.repeat(of, n) * len(self.ids) + self.rare_items[at]
-        reach = np.bincount(pair, self.rare_share[at], passages * len(self.ids))
-        return np.flatnonzero((reach.reshape(passages, -1) >= 1 - 1e-6).any(axis=1))
+        some = np.flatnonzero(n)
+        some = some[np.argsort(of[some], kind="stable")]
+        of, words, n = of[some], words[some], n[some]
+        # pairs of passage and item are summed in runs of whole passages, so that memory follows the pairs met and not
+        # passages times items
+        ends, out, at = np.cumsum(n), [np.empty(0, np.int64)], 0
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], True)) if len(of) else np.empty(0, np.int64)
+        while at < len(of):
+            past = ends[at - 1] if at else 0
+            within = last[(last >= at) & (ends[last] <= past + PAIRS)]
+            to = int(within[-1] if len(within) else last[last >= at][0]) + 1
+            m, first = n[at:to], self.rare_begin[words[at:to]]
+            total = int(m.sum())
+            where = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(total)
+            pair = np.repeat(of[at:to], m) * len(self.ids) + self.rare_items[where]
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            begin = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            reach = np.add.reduceat(self.rare_share[where][order], begin)
+            out.append(np.unique(pair[begin[reach >= 1 - 1e-6]] // len(self.ids)))
+            at = to
+        return np.concatenate(out)
 
     def search(self, words: set[int]) -> list[tuple[int, float]]:
         """Block-max WAND: every item whose normalised score reaches 1."""
@@ -238,30 +255,36 @@ def _numbers(index: Index):
 HITS = "doc_id long, item_id long, score double, first_word long, question_overlap double, answer_overlap double"
 
 
+#: Blocks of items that one scan of the documents tries: what a worker holds at most.
+BLOCKS_A_SCAN = 4
+
+
 def contaminated(docs: DataFrame, indexes: list[Index], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and test item it holds: the passage of greatest normalised score.
 
-    Null and empty texts hold nothing; null ids are kept; repeated rows answer each; other columns
-    are ignored; without items or rows the result is empty. No shuffle: each index is broadcast
-    and meets every passage once."""
+    Null and empty texts hold nothing; null ids are kept; repeated rows answer each; texts of any length are searched
+    whole, passage by passage; other columns are ignored; without items or rows the result is empty. No
+    shuffle: indexes are broadcast and meet every passage once, up to BLOCKS_A_SCAN blocks of items in a scan."""
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run_with(sent):
         def run(batches):
-            index = sent.value
-            number = _numbers(index)
             for b in rows_of(batches, 2 << 20):
-                rows = []
-                for doc, hits in zip(b.column(0).to_pylist(), index.leaks([number(t) for t in b.column(1).to_pylist()])):
-                    rows += [(doc, index.ids[k], s, w, q, a) for k, (s, w, q, a) in sorted(hits.items())]
+                rows, ids, texts = [], b.column(0).to_pylist(), b.column(1).to_pylist()
+                for index in (x.value for x in sent):
+                    number = _numbers(index)
+                    for doc, hits in zip(ids, index.leaks([number(t) for t in texts])):
+                        rows += [(doc, index.ids[k], s, w, q, a) for k, (s, w, q, a) in sorted(hits.items())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [f.split()[0] for f in HITS.split(", ")])
+            release()
 
         return run
 
-    out = [slim.mapInArrow(run_with(spark.sparkContext.broadcast(x)), HITS) for x in indexes]
+    sent = [spark.sparkContext.broadcast(x) for x in indexes]
+    out = [slim.mapInArrow(run_with(sent[i : i + BLOCKS_A_SCAN]), HITS) for i in range(0, len(sent), BLOCKS_A_SCAN)]
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)
@@ -269,24 +292,23 @@ def contaminated(docs: DataFrame, indexes: list[Index], id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, indexes: list[Index], text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no test item, with their columns; one pass for each index, no join."""
+    """The rows of docs that hold no test item, with their columns; one pass, no join. Rows of null or empty text
+    and null ids stay, as do repeated rows; texts of any length are searched whole; an empty table stays empty."""
     spark = docs.sparkSession
     ship(spark)
     names = docs.columns
-
-    def run_with(sent):
-        def run(batches):
-            index = sent.value
-            number, at = _numbers(index), names.index(text_col)
-            for b in rows_of(batches, 2 << 20, at):
-                yield b.filter(pa.array([not x for x in index.leaks([number(t) for t in b.column(at).to_pylist()])], pa.bool_()))
-            release()
-
-        return run
-
-    for x in indexes:
-        docs = docs.mapInArrow(run_with(spark.sparkContext.broadcast(x)), docs.schema)
-    return docs
+    sent = [spark.sparkContext.broadcast(x) for x in indexes]
+
+    def run(batches):
+        at = names.index(text_col)
+        for b in rows_of(batches, 2 << 20, at):
+            for index in (x.value for x in sent):
+                number = _numbers(index)
+                b = b.filter(pa.array([not x for x in index.leaks([number(t) for t in b.column(at).to_pylist()])], pa.bool_()))
+            yield b
+        release()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

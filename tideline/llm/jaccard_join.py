@@ -142,19 +142,21 @@ def profiles(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: s
     ship(docs.sparkSession)
 
     def run(batches):
-        seen: set[int] = set()  # sets that this task has cut already: copies send no parts
+        seen: set[tuple] = set()  # sets that this task has cut lately: copies send no parts
         for b in rows_of(batches, 4 << 20):
             sets = shingle_sets(b.column(1).to_pylist(), width)
             with np.errstate(over="ignore"):
                 sums = [(_mix(s).sum(dtype=np.uint64), _mix(s ^ _B).sum(dtype=np.uint64)) if len(s) else (np.uint64(0), np.uint64(0)) for s in sets]
             parts, tags = [], []
-            for s, (node, _) in zip(sets, sums):
-                new = int(node) not in seen
+            for s, pair in zip(sets, sums):
+                pair = tuple(map(int, pair))
+                new = pair not in seen
                 p, g = parts_of(s if new else s[:0], t)
                 parts.append(p.view(np.int64))
                 tags.append(g)
-                if len(seen) < 2_000_000:
-                    seen.add(int(node))
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(pair)
             ends = pa.array(np.cumsum([0] + [len(p) for p in parts]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (parts, tags)]
             node, check = (np.array([x[i] for x in sums], np.uint64).view(np.int64) for i in (0, 1))
@@ -164,7 +166,18 @@ def profiles(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: s
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    return materialize(slim.mapInArrow(run, PROFILE), "profiles")
+    return part_collisions(materialize(slim.mapInArrow(run, PROFILE), "profiles"))
+
+
+def part_collisions(profile: DataFrame) -> DataFrame:
+    """Nodes that sets of different checks share get numbers of both hashes, so that 128 bits tell sets apart."""
+    shared = profile.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
+    shared = materialize(shared.select(F.col("node").alias("_node")), "shared-nodes")
+    if not shared.limit(1).count():
+        return profile
+    parted = profile.join(_small(shared, 16), F.col("node") == F.col("_node"), "left")
+    node = F.when(F.col("_node").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return materialize(parted.withColumn("node", node).select(*profile.columns), "profiles")
 
 
 class BlockIndex:
@@ -284,12 +297,15 @@ def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col:
     """Links between nodes of different sets that span the components."""
     filled = profile.where("n > 0")
     posted = filled.select("node", F.explode(F.arrays_zip("parts", "tags")).alias("x")).select("node", "x.parts", "x.tags").withColumnRenamed("parts", "part").withColumnRenamed("tags", "tag")
-    kin = Window.partitionBy("part")
-    met = posted.withColumn("hub", F.min("node").over(kin)).withColumn("top", F.max("node").over(kin)).withColumn("df", F.count("*").over(kin)).where("hub <> top")
+    # what is known of a part combines before its shuffle; a part of any number of sets then meets them in a join,
+    # which adaptive execution splits
+    many = materialize(posted.groupBy("part").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("df")).where("hub <> top").select("part", "df"), "shared-parts")
+    met = posted.join(_small(many, 24), "part")
     place = F.dense_rank().over(Window.partitionBy("node", "tag").orderBy(F.desc("df"), "part"))
     kept = met.withColumn("place", place).where(F.col("place") > F.col("tag").bitwiseAND((1 << 24) - 1)).select("node", "part")
     kept = materialize(kept, "rare-parts")
-    met = kept.withColumn("hub", F.min("node").over(kin)).withColumn("top", F.max("node").over(kin)).where("hub <> top")
+    hubs = kept.groupBy("part").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("part", "hub")
+    met = kept.join(_small(materialize(hubs, "part-hubs"), 24), "part")
     met = materialize(met.groupBy("node", "hub").agg(F.count("*").alias("shared")), "shared-parts")
     cells = components(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = materialize(met.groupBy("node").agg(F.sum("shared").alias("shared")).join(cells.withColumnRenamed("root", "cell"), "node"), "members")
@@ -366,8 +382,8 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = (9, 10), width
 
     Null text is empty; an empty set links with nothing, and its row is its own class. Equal sets
     link at any size. Null ids never name a class that has another id; repeated rows are equal sets;
-    other columns are ignored; an empty table gives an empty one. Sets are told apart by 128 bits
-    and nodes by 64 bits of a hash of their shingles.
+    texts of any length are taken whole; other columns are ignored; an empty table gives an empty one. Sets
+    are told apart by 128 bits of hashes of their shingles, shingles by 64.
     """
     rows = rooted_rows(docs, threshold, width, id_col, text_col)
     least = materialize(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, rows_of, scratch, ship
+from .common import documents, materialize, release, rows_of, scratch, ship
 from .token_tables import _attempt, _fs
 
 ORDER = 4
@@ -233,13 +233,15 @@ class Models:
         return best, 1 / np.exp(z).sum(axis=1), h[np.arange(len(h)), best] > self.limits[best]
 
 
-def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate_rows: int = 2000, quantile: float = 0.999) -> Models:
+def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate_rows: int = 2000, quantile: float = 0.999, apart: int = 32) -> Models:
     """Counts the grams of all usable rows with a text and a language (usable: a condition on doc_id).
 
     Each task counts its own rows and sends one row for each gram and language; the sums are one
     shuffle of those, and all tables follow from them by aggregation. The driver sees the discounts and the
     first key of each block of the tables; calibrate_rows bounds the texts used to calibrate, of all languages
     together and again in equal shares for each, so that each language of texts with an identifier has a limit.
+    They are drawn from one row in `apart` (by a hash of the identifier) that is kept out of counting, so that limits are
+    those of texts not learned from; a language of fewer than 2 * apart rows is counted and calibrated on all of them.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -258,7 +260,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
             held[lang] = [(k[first], np.add.reduceat(n, first) if len(first) else n)]
 
-        for b in rows_of(batches, 4 << 20):
+        for b in rows_of(batches, 2 << 20):
             by: dict[str, list[str]] = {}
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 by.setdefault(lang, []).append(letters(text))
@@ -270,14 +272,23 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
             fold(lang)
             k, n = held[lang][0]
             if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                for at in range(0, len(k), 100_000):
+                    some = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k[some])), pa.array(k[some].view(np.int64)), pa.array(n[some])], ["lang", "gram", "n"])
+            held[lang] = []
+        release()
+
+    # a row for each language
+    sizes = rows.groupBy("lang").agg((F.count("*") >= 2 * apart).alias("large"))
+    drawn = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(apart)) == 0, F.lit(False))
+    rows = rows.join(F.broadcast(sizes), "lang").select("doc_id", "text", "lang", (drawn | ~F.col("large")).alias("drawn"), (~drawn | ~F.col("large")).alias("counted"))
+    counted = rows.where("counted").select("doc_id", "text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "grams")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     models = _tabulate(counted, langs)
     if langs:
         at = {x: i for i, x in enumerate(langs)}
+        rows = rows.where("drawn")
         named = rows.where(F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
         everywhere = named.orderBy("draw", "doc_id").limit(calibrate_rows).withColumn("whole", F.lit(True))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
@@ -365,13 +376,13 @@ def _tabulate(counted: DataFrame, langs: list[str], block_rows: int = 1 << 20) -
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every whole text. Null texts and texts without a letter
     are `und` with score 0; so is every text where no language was learned. Ties go to the language
-    that sorts first. Null ids are kept; repeated rows answer alike; other columns are ignored."""
+    that sorts first. Texts of any length are scored whole. Null ids are kept; repeated rows answer alike; other columns are ignored."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         models = sent.value
-        for b in rows_of(batches, 4 << 20):
+        for b in rows_of(batches, 2 << 20):
             texts = [letters(t) for t in b.column(1).to_pylist()]
             some = [i for i, t in enumerate(texts) if t and models.langs]
             lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -380,6 +391,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
                 for i, k, c, r in zip(some, best.tolist(), confidence.tolist(), far.tolist()):
                     lang[i], score[i], rejected[i] = models.langs[k], c, r
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+        release()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")

@@ -1,4 +1,8 @@
-"""Operator 6, sharding: a hierarchical weighted hash tree of regions, racks and shards. DataFrame functions only."""
+"""Operator 6, sharding: a hierarchical weighted hash tree of regions, racks and shards. DataFrame functions only.
+
+Law `key`: the identifier and the tree decide, and the tree follows from the number of shards; one more shard
+takes rows only into itself, from any number of shards on.
+"""
 
 from __future__ import annotations
 
@@ -19,38 +23,38 @@ class Leaf:
 
 
 def regular_tree(shards: int, racks: int = 2, per_rack: int = 2) -> list[Leaf]:
-    """The tree that a number of shards decides: full regions of racks * per_rack shards of weight 1,
-    and each shard beyond them a region of its own."""
-    full = shards // (racks * per_rack) * racks * per_rack
-    tree = [Leaf(s // (racks * per_rack), s // per_rack, s) for s in range(full)]
-    return tree + [Leaf(10_000 + s, 10_000 + s, s) for s in range(full, shards)]
+    """The tree that a number of shards decides, of weight 1 each: racks of per_rack shards, regions of racks. The
+    tree of more shards holds that of fewer, so one more shard regroups none of the others."""
+    return [Leaf(s // (racks * per_rack), s // per_rack, s) for s in range(shards)]
 
 
-def _draw(key: Column, level: int, node: Column, weight: Column) -> Column:
-    """An exponential draw of rate weight, decided by key and node: the child with the least one wins,
-    with a chance in proportion to its weight, whatever other children there are."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node.cast("long")), 11).cast("double")
+def _draw(key: Column, shard: Column, weight: Column) -> Column:
+    """An exponential draw of rate weight, decided by key and shard."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, shard.cast("long")), 11).cast("double")
     return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / weight
 
 
 def descend(key: Column, tree: list[Leaf]) -> Column:
-    """The shard that key reaches: at each of the three levels the children draw by their subtree's
-    weight. A change of weights under one node changes draws on the path to it alone: rows move into
-    or out of the subtrees whose weights change, and between no others."""
-    def total(leaves):
-        return float(sum(x.weight for x in leaves))
+    """The shard that key reaches: region, rack and shard levels are descended to the child of least draw.
+
+    A shard draws by its weight; a rack's or region's draw is the least of those below it, which is again an exponential
+    draw, of the rate of its subtree's weight, so each child wins with a chance in proportion to that.
+    A change of one shard's weight changes draws on the path to it alone: rows move into that shard if it
+    gains or joins, and out of it if it loses or goes, wherever it stands, and no row moves between others.
+    """
 
-    def node(name, leaves, below):
-        kids = [F.struct(F.lit(k).alias("node"), F.lit(total([x for x in leaves if getattr(x, name) == k])).alias("weight"), below([x for x in leaves if getattr(x, name) == k]).alias("below")) for k in sorted({getattr(x, name) for x in leaves})]
-        return F.array(*kids)
+    def grouped(name, leaves, below):
+        return F.array(*[below([x for x in leaves if getattr(x, name) == k]) for k in sorted({getattr(x, name) for x in leaves})])
 
     live = [x for x in tree if x.weight > 0]
-    root = node("region", live, lambda a: node("rack", a, lambda b: F.array(*[F.struct(F.lit(x.shard).alias("node"), F.lit(float(x.weight)).alias("weight")) for x in sorted(b, key=lambda x: x.shard)])))
+    rack = lambda b: F.array(*[F.struct(F.lit(x.shard).alias("shard"), F.lit(float(x.weight)).alias("weight")) for x in sorted(b, key=lambda x: x.shard)])
+    root = grouped("region", live, lambda a: grouped("rack", a, rack))
 
-    def pick(children, level):
-        return F.array_min(F.transform(children, lambda c: F.struct(_draw(key, level, c["node"], c["weight"]).alias("draw"), c.alias("child"))))["child"]
+    def least(children, below):
+        return F.array_min(F.transform(children, below))
 
-    return pick(pick(pick(root, 0)["below"], 1)["below"], 2)["node"].cast("int")
+    shard = lambda c: F.struct(_draw(key, c["shard"], c["weight"]).alias("draw"), c["shard"].alias("shard"))
+    return least(root, lambda region: least(region, lambda rack: least(rack, shard)))["shard"].cast("int")
 
 
 def assign(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 100_000) -> DataFrame:
@@ -60,7 +64,7 @@ def assign(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, i
     1, null text counting as empty. slot numbers a shard's rows from 0 without gaps: rows are dealt
     to buckets of about bucket_rows by a hash, numbered there, and shifted by the counts of the
     shard's buckets before, a small table; no task gets a whole shard. grown_shard: by the tree grown.
-    Texts stay where they are read. Repeated rows take a slot each; other columns are ignored; an
+    Texts of any length stay where they are read. Repeated rows take a slot each; other columns are ignored; an
     empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
