@@ -126,7 +126,7 @@ def test_tables_in_files_are_whole(spark, make):
     k, n = li.distinct(li.grams([li.letters(t) for t in texts])[0])
     assert len(k) > 400_000
     want = li.Models(["en"], np.zeros(len(k), np.int64), k, n)
-    got = li.train(make(list(enumerate(texts))), apart=10_000)  # so few rows are all counted
+    got = li.train(make(list(enumerate(texts))), few=10_000)  # so few rows are all counted
     assert got.discounts == want.discounts and got.uniform == want.uniform
     blocks = li._tabulate(spark.createDataFrame([("en", int(x), int(c)) for x, c in zip(k[::97].view(np.int64), n[::97])], "lang string, gram long, n long"), ["en"], 500)
     few = li.Models(["en"], np.zeros(len(k[::97]), np.int64), k[::97], n[::97])
@@ -166,17 +166,17 @@ def test_language_accuracy(spark):
     models = li.train(docs, usable=li.fold() != 2)
     held = li.identify(docs, models).join(docs.select("doc_id", "lang"), "doc_id").where(li.fold() == 2).toPandas()
     assert (held.lang_pred == held.lang).mean() > 0.97
-    assert held.rejected.mean() < 0.02
+    assert held.rejected.mean() < 0.04  # some 47 rows set each limit, so one in 48 is to be expected
 
 
 def test_calibration_rows_are_not_counted(make, prose):
-    """One row in four is kept out of counting, in a language of enough rows; the counts are those of the others."""
+    """At most one row in four is kept out of counting, in a language of enough rows; the counts are those of the others."""
     rows = [(i, prose(30, i)) for i in range(200)]
     docs = make(rows)
-    apart = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0).select("doc_id").collect()}
+    apart = {r[0] for r in docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) < (1 << 51)).select("doc_id").collect()}
     assert 20 < len(apart) < 90
     k, n = li.distinct(li.grams([li.letters(t) for i, t in rows if i not in apart])[0])
-    want, got = li.Models(["en"], np.zeros(len(k), np.int64), k, n), li.train(docs, apart=4)
+    want, got = li.Models(["en"], np.zeros(len(k), np.int64), k, n), li.train(docs)
     texts = [t for _, t in rows[:20]]
     assert got.discounts == want.discounts and np.allclose(got.entropies(texts), want.entropies(texts))
     assert np.isfinite(got.limits).all()

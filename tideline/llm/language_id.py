@@ -22,7 +22,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, release, rows_of, scratch, ship
@@ -211,13 +211,14 @@ class Models:
                 out[some, i] = np.add.reduceat(self.cost[:, i][at], (ends - n)[some], dtype=np.float64) / n[some]
         return out
 
-    def calibrate(self, texts: list[str], langs: np.ndarray, quantile: float) -> None:
-        """The temperature of least log loss, and each language's limit: a quantile of its own texts' means."""
+    def calibrate(self, texts: list[str], langs: np.ndarray, quantile: float, weight: np.ndarray | None = None) -> None:
+        """The temperature of least weighted log loss, and each language's limit: a quantile of its own texts' means."""
         h = self.entropies(texts)
         best = np.inf
         for t in np.geomspace(0.5, 64, 40):
             z = -h * t
-            loss = -(z[np.arange(len(h)), langs] - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - z.max(axis=1)).mean() if len(h) else 0.0
+            each = z[np.arange(len(h)), langs] - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - z.max(axis=1)
+            loss = -np.average(each, weights=weight) if len(h) else 0.0
             if loss < best - 1e-9:
                 best, self.temperature = loss, float(t)
         for i in range(len(self.langs)):
@@ -233,15 +234,15 @@ class Models:
         return best, 1 / np.exp(z).sum(axis=1), h[np.arange(len(h)), best] > self.limits[best]
 
 
-def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate_rows: int = 2000, quantile: float = 0.999, apart: int = 32) -> Models:
+def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate_rows: int = 2000, quantile: float = 0.999, few: int = 64) -> Models:
     """Counts the grams of all usable rows with a text and a language (usable: a condition on doc_id).
 
     Each task counts its own rows and sends one row for each gram and language; the sums are one
     shuffle of those, and all tables follow from them by aggregation. The driver sees the discounts and the
-    first key of each block of the tables; calibrate_rows bounds the texts used to calibrate, of all languages
-    together and again in equal shares for each, so that each language of texts with an identifier has a limit.
-    They are drawn from one row in `apart` (by a hash of the identifier) that is kept out of counting, so that limits are
-    those of texts not learned from; a language of fewer than 2 * apart rows is counted and calibrated on all of them.
+    first key of each block of the tables, and the texts used to calibrate: calibrate_rows in all, in equal shares for
+    each language, drawn by a hash of the identifier, and at most one in four of its rows. These are kept out of
+    counting, so that limits are those of texts not learned from; a language of fewer than `few` rows is counted
+    and calibrated on all of them.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -278,29 +279,26 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
             held[lang] = []
         release()
 
-    # a row for each language
-    sizes = rows.groupBy("lang").agg((F.count("*") >= 2 * apart).alias("large"))
-    drawn = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(apart)) == 0, F.lit(False))
-    rows = rows.join(F.broadcast(sizes), "lang").select("doc_id", "text", "lang", (drawn | ~F.col("large")).alias("drawn"), (~drawn | ~F.col("large")).alias("counted"))
+    # a row for each language: how many of its rows to draw
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("size")), "languages")
+    share = -(-calibrate_rows // max(1, sizes.count()))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / F.lit(float(1 << 53))
+    small = F.col("size") < few
+    drawn = F.coalesce(draw < F.least(F.lit(0.25), F.lit(float(share)) / F.col("size")), F.lit(False))
+    rows = rows.join(F.broadcast(sizes), "lang").select("doc_id", "text", "lang", "size", (drawn | small).alias("drawn"), (~drawn | small).alias("counted"))
     counted = rows.where("counted").select("doc_id", "text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "grams")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     models = _tabulate(counted, langs)
     if langs:
         at = {x: i for i, x in enumerate(langs)}
-        rows = rows.where("drawn")
-        named = rows.where(F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
-        everywhere = named.orderBy("draw", "doc_id").limit(calibrate_rows).withColumn("whole", F.lit(True))
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-        each = named.withColumn("rank", rank).where(F.col("rank") <= -(-calibrate_rows // len(langs))).drop("rank").withColumn("whole", F.lit(False))
-        least = everywhere.unionByName(each).groupBy("doc_id", "lang").agg(F.max("whole").alias("whole"))
-        some = rows.join(F.broadcast(least), ["doc_id", "lang"]).select("text", "lang", "whole").toArrow()
-        use = [(letters(t), at[x], w) for t, x, w in zip(*(some.column(k).to_pylist() for k in range(3))) if letters(t) and x in at]
-        # the temperature is of all rows alike; limits also need rows of languages that are seldom
-        for part in ([u for u in use if u[2]], use):
-            temperature = models.temperature
-            models.calibrate([u[0] for u in part], np.array([u[1] for u in part], np.int64), quantile)
-        models.temperature = temperature
+        # at most the share of each language, or its few rows, in expectation
+        some = rows.where("drawn").where(F.col("text").rlike(r"\p{L}")).select("text", "lang", "size").toArrow()
+        use = [(letters(t), at[x], n) for t, x, n in zip(*(some.column(k).to_pylist() for k in range(3))) if letters(t) and x in at]
+        names = np.array([u[1] for u in use], np.int64)
+        # each language counts for the temperature by its share of all rows
+        weight = np.array([u[2] for u in use], np.float64) / np.maximum(1, np.bincount(names, minlength=len(langs))[names])
+        models.calibrate([u[0] for u in use], names, quantile, weight)
     return models
 
 
