@@ -49,8 +49,26 @@ def test_match_and_ignored_columns(base):
 
 
 def test_accepted_deviation(base):
-    report = cmp.compare("t", base.drop("row_hash"), base, ["id"], accept=["surplus_managed_column"])
+    report = cmp.compare("t", base.drop("row_hash"), base, ["id"], accept=["managed_column_added"])
     assert report.verdict == "MATCH*"
+    assert cmp.compare("t", base, base.drop("row_hash"), ["id"], accept=list(cmp.DEVIATIONS)).verdict == "DIFF"  # in one direction
+    order = [c for c in base.columns if c not in ("row_hash", "_timestamp")]
+    swap = base.select(*order, "_timestamp", "row_hash")
+    assert cmp.compare("t", base, swap, ["id"], accept=["managed_columns_reordered"]).verdict == "MATCH*"
+    assert cmp.compare("t", base, swap.select("_timestamp", *order, "row_hash"), ["id"], accept=list(cmp.DEVIATIONS)).verdict == "DIFF"
+    typed = base.withColumn("_type", F.lit(1))
+    assert [cmp.DEVIATIONS["reserved_column_typed"](d) for d in cmp.type_differences(base, typed)] == [True]
+    assert [cmp.DEVIATIONS["reserved_column_typed"](d) for d in cmp.type_differences(typed, base)] == [False]
+    wide = base.withColumn("id", F.col("id").cast("bigint"))
+    assert cmp.compare("t", base, wide, ["id"], accept=list(cmp.DEVIATIONS)).verdict == "DIFF"
+
+
+def test_signature_has_eight_fields(spark):
+    a = spark.createDataFrame([], "d decimal(12,2), s string, t timestamp")
+    got = {f.name: cmp.signature(f) for f in a.schema.fields}
+    assert tuple(got["d"]) == cmp.SIGNATURE and got["d"]["numeric_precision"] == "12" and got["d"]["numeric_scale"] == "2" and got["t"]["datetime_precision"] == "6"
+    named = a.withMetadata("s", {"char_max_length": 20}), a.withMetadata("s", {"char_max_length": 30})
+    assert [(d.kind, d.left, d.right) for d in cmp.type_differences(*named)] == [("char_max_length", "20", "30")]
 
 
 def test_missing_table_and_error(base):

@@ -42,8 +42,9 @@ def test_redaction():
 
 def test_cutoffs():
     now = datetime(2026, 8, 16, 10)
-    assert p.cutoff(now, lookback_hours=6) == datetime(2026, 8, 16, 4)
-    assert p.cutoff(now) == datetime(2026, 8, 2)
+    assert p.cutoff(now, lookback_hours=6) == datetime(2026, 8, 16) and p.cutoff(now, lookback_hours=24) == datetime(2026, 8, 15)
+    assert p.cutoff(now) == p.cutoff(now, days_back=0) == p.cutoff(now, lookback_hours=0) == datetime(2026, 8, 2)
+    assert p.cutoff_value(datetime(2026, 8, 16), "firebird") == 46250 and p.cutoff_value(now, "mysql") == "2026-08-16 10:00:00"
     assert p.cutoff(now, deep=True) == datetime(2026, 1, 1) and p.cutoff(datetime(2026, 6, 30), deep=True) == datetime(2025, 1, 1)
 
 
@@ -89,3 +90,42 @@ def test_null_key_without_default_partition_fails(spark):
     df = spark.createDataFrame([(None,)], "d string")
     with pytest.raises(Exception, match="no partition"):
         pt.route(df, pt.PartitionSpec("d", "list", False)).collect()
+
+
+def test_older_sections():
+    got = c.parse({"TABLE": {"source_name": "src", "output_table": "dst", "excluded_columns": "x, y"}, "LOAD_SETTINGS": {"load_method": "incremental", "primary_column": "id", "incremental_date_column": "d", "incremental_date_column_fallback": "e", "incremental_lookback_hours": "0", "batch_size": 5, "pagination_mode": "keyset"}, "DIALECT": "mysql", "DATABASES": [{"name": "one"}], "EMPTY_ROWS_OK": "ano"})
+    s = got.settings
+    assert (got.table, got.target, got.dialect, got.sources) == ("src", "dst", "mysql", ("one",))
+    assert (s.method, s.key, s.date_column, s.created_column, s.exclude_columns, s.empty_rows_ok, s.deep_window) == ("incremental", "id", "d", "e", ("x", "y"), True, True)
+    p = c.parse({"TABLE_NAME": "kids", "DIALECT": "firebird", "LOAD_SETTINGS": {"load_method": "incremental", "primary_key_column": "id", "incremental_parent_table": "p", "incremental_parent_key_column": "pid", "incremental_parent_date_column": "m"}}).settings
+    assert (c.resolve_method(p), p.foreign_key, p.parent_key, p.parent_dates) == ("parent_incremental", "pid", "id", ("m",))
+
+
+@pytest.mark.parametrize(("dialect", "method", "ok"), [("firebird", "hash", False), ("mysql", "full_by_source", False), ("mssql", "full_by_source", True), ("mysql", "parent_incremental", False), ("firebird", "id_watermark", True)])
+def test_gates(dialect, method, ok):
+    raw = {"table": "t", "dialect": dialect, "settings": {"method": method, "key": "id", "parent_table": "p", "parent_key": "id", "foreign_key": "f", "parent_dates": "d"}}
+    if ok:
+        c.parse(raw)
+    else:
+        with pytest.raises(c.ConfigError, match="does not support"):
+            c.parse(raw)
+
+
+def test_retries():
+    calls, pauses = [], []
+
+    def work(message, good):
+        calls.append(1)
+        if len(calls) < good:
+            raise OSError(message)
+        return "done"
+
+    assert c.retried(lambda: work("connection reset", 3), pause=pauses.append) == "done" and pauses == [5.0, 10.0]
+    calls.clear()
+    with pytest.raises(OSError):
+        c.retried(lambda: work("no such table", 3), pause=pauses.append)
+    assert len(calls) == 1
+    calls.clear()
+    with pytest.raises(OSError):
+        c.retried(lambda: work("timed out", 99), attempts=4, pause=pauses.append)
+    assert len(calls) == 4

@@ -211,3 +211,89 @@ def test_stream_of_changes(spark, tmp_path):
 def test_diff_of_empty_tables(spark, base):
     empty = d.snapshot(base(1).limit(0), "id")
     assert d.counts(d.diff(empty, empty)).first().asDict() == {"added": 0, "changed": 0, "matched": 0, "deleted": 0, "source_rows": 0}
+
+
+def test_run_cleans_names_promotes_and_drops_later_batches(spark, tmp_path):
+    """The whole load path: names, text types, dates, integers near their limit, flags, decoded bytes, repeats across batches."""
+    given = [(1, "2026-08-14", 5, "1", bytearray("příliš".encode("cp1250")), "007", 0, "a\r\nb"), (2, "0000-00-00", 2_100_000_000, "0", None, "", 0, "c\rd"), (2, "2026-01-01", 1, "0", None, "x", 1, None)]
+    df = spark.createDataFrame(given, "id int, `Doc Date` string, big int, flag string, note binary, ean string, part int, `select` string")
+    raw = {"table": "t", "dialect": "mssql", "types": {"id": "int", "doc date": "datetime", "big": "int", "note": "image", "ean": "varchar", "select": "nvarchar"}, "settings": {"method": "full", "key": "ID", "batch_column": "part", "reserved_words": ["SELECT"]}}
+    store = TargetStore(spark, f"file://{tmp_path}/t")
+    r = run(spark, raw, {"main": df}, store, AT).first()
+    assert (r["status"], r["rows_written"]) == ("ok", 2)
+    out = store.read()
+    assert dict(out.dtypes) | {} == {"id": "int", "doc_date": "timestamp_ntz", "big": "bigint", "flag": "string", "note": "string", "ean": "string", "_select": "string", "row_hash": "string", "_timestamp": "string", "_deleted_in_source": "boolean"}
+    assert rows_of(out) == [(1, datetime(2026, 8, 14), 5, "příliš", "007", "a\nb"), (2, None, 2_100_000_000, None, None, "c d")]
+    enum = spark.createDataFrame([(1, "1"), (2, "0")], "id int, flag string")
+    both = TargetStore(spark, f"file://{tmp_path}/e")
+    run(spark, {"table": "e", "dialect": "mysql", "types": {"id": "int", "flag": "enum"}, "settings": {"key": "id"}}, {"main": enum}, both, AT)
+    assert rows(both.read(), "id", "flag") == [(1, True), (2, False)]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select("id", "doc_date", "big", "note", "ean", "_select").collect())
+
+
+def test_strict_precision_stops_the_load(spark, tmp_path):
+    store = TargetStore(spark, f"file://{tmp_path}/t")
+    df = spark.createDataFrame([(1, 9007199254740994.0)], "id long, n double")
+    raw = {"table": "t", "types": {"n": "bigint"}, "settings": {"key": "id"}}
+    with pytest.raises(SourceError, match="failed"):
+        run(spark, raw | {"settings": {"key": "id", "strict_integer_precision": True}}, {"main": df}, store, AT)
+    assert store.read() is None
+    run(spark, raw, {"main": df}, store, AT)
+    assert rows(store.read(), "id", "n") == [(1, 9007199254740994)]
+
+
+def test_target_without_managed_columns_gets_them(spark, base, tmp_path):
+    store = TargetStore(spark, f"file://{tmp_path}/t")
+    store.write(spark.createDataFrame([(1, "u")], "id long, u string"))
+    src = spark.createDataFrame([(2, "2026-08-15 00:00:00")], "id long, u string")
+    run(spark, {"table": "t", "settings": {"method": "incremental", "key": "id", "updated_column": "u"}}, {"m": src}, store, AT)
+    assert store.read().columns == ["id", "u", "row_hash", "_timestamp", "_deleted_in_source"]
+    assert rows(store.read(), "id", "_deleted_in_source") == [(1, False), (2, False)]
+
+
+def test_partitions_of_an_existing_target_hold(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2026-08-14")], "id long, d string")
+    store = TargetStore(spark, f"file://{tmp_path}/t")
+    store.write(st.full(df, None, LoadSettings(), "old").target)
+    raw = {"table": "t", "settings": {"key": "id", "partition_by": {"column": "d", "mode": "range_month"}}}
+    with pytest.warns(UserWarning, match="without partitions"):
+        run(spark, raw, {"m": df}, store, AT)
+    assert "_partition" not in store.read().columns
+
+
+def test_several_sources_need_slices(spark, base, tmp_path):
+    from tideline.plans.config import ConfigError
+
+    store = TargetStore(spark, f"file://{tmp_path}/t")
+    for raw in ({"table": "t"}, {"table": "t", "sources": ["a", "b"]}):
+        with pytest.raises(ConfigError, match="full_by_source"):
+            run(spark, raw, {"a": base(1), "b": base(2)}, store, AT)
+
+
+def test_slices_have_no_hash_unless_asked(spark, base):
+    for given, null in ((None, True), (True, False)):
+        s = LoadSettings(method="full_by_source", compute_row_hash=given)
+        assert st.full_by_source({"a": base(1)}, None, s, NOW).target.first()["row_hash"] is None or not null
+        assert (st.full_by_source({"a": base(1)}, None, s, NOW).target.where("row_hash IS NULL").count() == 1) == null
+
+
+def test_windows(spark):
+    src = spark.createDataFrame([(1, 46000, 46300), (2, 46000, 46000), (3, None, 46300), (4, 46300, None), (5, None, None)], "id long, a int, b int")
+    s = LoadSettings(method="incremental", key="id", date_column="a", created_column="b", lookback_hours=24)
+    cond, since = st.window(src, s, AT)
+    assert since == "2026-08-15 00:00:00" and rows(src.where(cond), "id") == [(1,), (3,), (4,)]
+    assert st.window(src, LoadSettings(date_column="a", days_back=3), AT)[1] == "2026-01-01 00:00:00"
+    assert st.window(src, LoadSettings(updated_column="a", days_back=3), AT)[1] == "2026-08-13 00:00:00"
+
+
+def test_filters_reach_the_scan(spark, sf, capsys):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    from tideline.operators import predicates as p
+
+    p.above_watermark(o, o.where("o_orderkey < 100"), "o_orderkey").explain("formatted")
+    assert "GreaterThan(o_orderkey" in capsys.readouterr().out
+    o.where(p.coalesce_window(o["o_orderdate"], o["o_orderdate"], "1997-01-01")).explain("formatted")
+    assert "GreaterThanOrEqual(o_orderdate" in capsys.readouterr().out

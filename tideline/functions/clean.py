@@ -1,7 +1,7 @@
 """Value cleaning as Column expressions. Every function is NULL for a missing value (NULL or NaN).
 
 `kind` says what the column holds: "text", "int", "float", "decimal" or "bool". Nothing here is a
-UDF but decode_bytes and the \\uXXXX form of to_json_text, which no built-in function expresses.
+UDF but decode_bytes for other encodings than UTF-8, which no built-in function tries in turn.
 """
 
 from __future__ import annotations
@@ -92,12 +92,35 @@ def to_bool(c: Column, kind: str = "text") -> Column:
     return c.cast("boolean")
 
 
+#: Spellings beside ISO's, with the pattern that reads them.
+_SPELLINGS = (
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (r"^[0-9]{14}$", "yyyyMMddHHmmss"),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/yyyy H:mm"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-yyyy"),
+    (r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$", "M.d.yyyy"),
+    (r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$", "d MMM yyyy"),
+    (r"^[0-9]{1,2}-[A-Z][a-z]{2}-[0-9]{4}$", "d-MMM-yyyy"),
+    (r"^[A-Z][a-z]{2} [0-9]{1,2},? [0-9]{4}$", "MMM d yyyy"),
+)
+_ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
 def parse_stamp(text: Column) -> Column:
-    """Stripped text as a timestamp: ISO dates, ISO date and time with a space or T, and month/day/year.
-    Anything else is NULL, bare numbers included, and so are times outside 1677-09-22 .. 2262-04-11."""
-    iso = F.when(text.rlike(_ISO_DATE) | text.rlike(_ISO_STAMP), F.replace(text, F.lit("T"), F.lit(" "))).try_cast("timestamp_ntz")
-    us = F.when(text.rlike(_US_DATE), F.concat_ws("-", F.element_at(F.split(text, "/"), 3), F.lpad(F.element_at(F.split(text, "/"), 1), 2, "0"), F.lpad(F.element_at(F.split(text, "/"), 2), 2, "0"))).try_cast("timestamp_ntz")
-    stamp = F.coalesce(iso, us)
+    """Stripped text as a timestamp: ISO dates, ISO date and time with a space or T, whose zone is left out, and the
+    spellings above, month first; where the month would be over 12, day first. Anything else is NULL, and so are
+    times outside 1677-09-22 .. 2262-04-11."""
+    bare = F.when(text.rlike(_ZONED), F.regexp_replace(text, r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "")).otherwise(text)
+    iso = F.when(bare.rlike(_ISO_DATE) | bare.rlike(_ISO_STAMP), F.replace(bare, F.lit("T"), F.lit(" "))).try_cast("timestamp_ntz")
+    found = [iso]
+    for shape, pattern in _SPELLINGS:
+        given = F.when(text.rlike(shape), F.replace(text, F.lit(","), F.lit("")))
+        for one in (pattern, pattern.replace("M", "#").replace("d", "M").replace("#", "d")) if pattern.startswith("M") and "MMM" not in pattern else (pattern,):
+            found.append(F.try_to_timestamp(given, F.lit(one)).cast("timestamp_ntz"))
+    stamp = F.coalesce(*found)
     return F.when((stamp >= F.lit("1677-09-22").cast("timestamp_ntz")) & (stamp < F.lit("2262-04-11").cast("timestamp_ntz")), stamp)
 
 
@@ -136,19 +159,13 @@ def to_time_str(c: Column, kind: str = "text") -> Column:
 
 
 def escape_ascii(c: Column) -> Column:
-    """Characters over ASCII as \\uXXXX, pairs of surrogates for those over U+FFFF. An Arrow function."""
-    @F.pandas_udf(T.StringType())
-    def escape(s: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None or x.isascii():
-                return x
-            units = x.encode("utf-16-be")
-            codes = (int.from_bytes(units[i : i + 2], "big") for i in range(0, len(units), 2))
-            return "".join(chr(u) if u < 128 else f"\\u{u:04x}" for u in codes)
+    """Characters over ASCII as \\uXXXX, pairs of surrogates for those over U+FFFF."""
+    def one(x: Column) -> Column:
+        units = F.lower(F.hex(F.encode(x, "UTF-16BE")))
+        both = F.concat(F.lit("\\u"), F.substring(units, 1, 4), F.when(F.length(units) > 4, F.concat(F.lit("\\u"), F.substring(units, 5, 4))).otherwise(""))
+        return F.when(F.octet_length(x) == 1, x).otherwise(both)
 
-        return s.map(one)
-
-    return escape(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
 
 
 def to_json_text(c: Column, structured: bool = False, ensure_ascii: bool = True) -> Column:
@@ -169,15 +186,17 @@ def bytes_to_hex_literal(c: Column) -> Column:
     return F.concat(F.lit("\\x"), F.lower(F.hex(c)))
 
 
-def decode_bytes(c: Column, encodings: Sequence[str] = ("utf-8", "cp1250", "latin-1")) -> Column:
-    """The first encoding that decodes the value; with the last, what does not decode is replaced. An Arrow function."""
+def decode_bytes(c: Column, encodings: Sequence[str] = ("utf-8",)) -> Column:
+    """The first encoding that decodes the value; with the last, what does not decode is replaced. UTF-8 first or alone is
+    built in; other orders are an Arrow function."""
     tried = tuple(encodings)
+    valid = F.when(F.is_valid_utf8(c.cast("string")), c.cast("string"))
+    if tried == ("utf-8",):
+        return F.make_valid_utf8(c.cast("string"))
 
     @F.pandas_udf(T.StringType())
     def decode(s: pd.Series) -> pd.Series:
         def one(b):
-            if b is None:
-                return None
             for e in tried:
                 try:
                     return bytes(b).decode(e)
@@ -185,9 +204,15 @@ def decode_bytes(c: Column, encodings: Sequence[str] = ("utf-8", "cp1250", "lati
                     pass
             return bytes(b).decode(tried[-1], errors="replace")
 
-        return s.map(one)
+        return s.map(one, na_action="ignore")
+
+    return F.coalesce(valid, decode(F.when(valid.isNull(), c))) if tried[0] == "utf-8" else decode(c)
+
 
-    return decode(c)
+def decode_bytes_columns(df: DataFrame, encodings: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
+    """Binary columns as text, but for those in skip, whose target holds bytes."""
+    binary = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)} - set(skip)
+    return df.select(*[decode_bytes(F.col(f"`{c}`"), encodings).alias(c) if c in binary else F.col(f"`{c}`") for c in df.columns])
 
 
 def clean_invalid_date(c: Column) -> Column:

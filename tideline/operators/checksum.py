@@ -32,17 +32,39 @@ def hash_sums(text: Column) -> tuple[Column, Column]:
     return part(1), part(9)
 
 
-def measures(name: str, dtype: T.DataType, scale: int = 6) -> dict[str, Column]:
-    """The aggregates of one column by its family; all as text, so that tables of checksums compare."""
+_LIMB = 10**18
+
+
+def exact_sum(c: Column, dtype: T.DataType) -> Column:
+    """The sum as text, exact for any decimal and any number of rows: whole numbers that 38 digits cannot overflow are summed as
+    they are, others in three parts (multiples of 10**18, units, fraction) that stand side by side."""
+    digits, scale = (dtype.precision, dtype.scale) if isinstance(dtype, T.DecimalType) else (19, 0)
+    if digits + 12 <= 38:
+        return F.sum(c.cast(f"decimal(38,{scale})")).cast("string")
+    # remainders keep their digits, where a difference of wide decimals would be rounded
+    wide, limb = "decimal(38,0)", F.lit(_LIMB)
+    x = c.cast(f"decimal(38,{scale})")
+    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast(wide)
+    low = whole % limb
+    parts = [((whole - low) / limb).cast(wide), low.cast(wide)]
+    if scale:
+        parts.append((x % F.lit(1)).cast(f"decimal(38,{scale})"))
+    return F.concat_ws("+", *[F.sum(p).cast(p_type).cast("string") for p, p_type in zip(parts, (wide, wide, f"decimal(38,{scale})"))])
+
+
+def measures(name: str, dtype: T.DataType) -> dict[str, Column]:
+    """The aggregates of one column by its family; all as text, so that tables of checksums compare. Numbers are
+    neither rounded nor do they overflow: decimals are summed at their own scale, and the sums for doubles are over hashes
+    of their shortest texts."""
     c = F.col(f"`{name}`")
     nulls = F.count_if(c.isNull()).cast("string")
     kind = family(dtype)
-    total = lambda x: F.sum(x.cast(f"decimal(28,{scale})")).cast(f"decimal(38,{scale})").cast("string")
     if kind == "numeric":
-        return {"nulls": nulls, "sum": total(c), "min": F.min(c).cast(f"decimal(38,{scale})").cast("string"), "max": F.max(c).cast(f"decimal(38,{scale})").cast("string")}
+        return {"nulls": nulls, "sum": exact_sum(c, dtype), "min": F.min(c).cast("string"), "max": F.max(c).cast("string")}
     if kind == "float":
-        x = F.when(finite(c), c)
-        return {"nulls": nulls, "sum": total(x), "min": F.min(x).cast(f"decimal(38,{scale})").cast("string"), "max": F.max(x).cast(f"decimal(38,{scale})").cast("string"), "nonfinite": F.count_if(c.isNotNull() & ~finite(c)).cast("string")}
+        x = F.when(finite(c), F.when(c == 0, F.abs(c)).otherwise(c))  # one zero
+        h1, h2 = hash_sums(x.cast("string"))
+        return {"nulls": nulls, "min": F.min(x).cast("string"), "max": F.max(x).cast("string"), "h1": h1, "h2": h2, "nonfinite": F.count_if(c.isNotNull() & ~finite(c)).cast("string")}
     if kind == "boolean":
         return {"nulls": nulls, "true": F.count_if(c).cast("string"), "false": F.count_if(~c).cast("string")}
     if kind == "temporal":

@@ -7,11 +7,14 @@ even after one has failed; a level that cannot run says why.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import content_hash
 from .checksum import checksums, family
@@ -81,16 +84,34 @@ def column_differences(left: Sequence[str], right: Sequence[str]) -> list[Differ
     return out
 
 
+#: The fields of a type signature, which a column's metadata may declare where Spark's types do not hold them.
+SIGNATURE = ("type", "udt_name", "nullable", "char_max_length", "numeric_precision", "numeric_scale", "datetime_precision", "collation")
+
+
+def signature(f: T.StructField) -> dict[str, str]:
+    """Type, declared name, nullability, length, precision, scale, precision of times, collation."""
+    t, m = f.dataType, f.metadata or {}
+    numbers = {T.ByteType: (8, 0), T.ShortType: (16, 0), T.IntegerType: (32, 0), T.LongType: (64, 0), T.FloatType: (24, None), T.DoubleType: (53, None)}
+    precision, scale = (t.precision, t.scale) if isinstance(t, T.DecimalType) else numbers.get(type(t), (None, None))
+    length = re.match(r"(?:var)?char\((\d+)\)", str(m.get("__CHAR_VARCHAR_TYPE_STRING", "")))
+    found = {
+        "type": t.typeName(), "udt_name": m.get("udt_name", t.simpleString()), "nullable": f.nullable, "char_max_length": m.get("char_max_length", length and length.group(1)), "numeric_precision": precision, "numeric_scale": scale,
+        "datetime_precision": m.get("datetime_precision", 6 if isinstance(t, (T.TimestampType, T.TimestampNTZType)) else None), "collation": m.get("collation", getattr(t, "collation", None)),
+    }
+    return {k: "" if found[k] is None else str(found[k]) for k in SIGNATURE}
+
+
 def type_differences(left: DataFrame, right: DataFrame) -> list[Difference]:
-    """Type, nullability and metadata of common columns."""
+    """The first field of the signature in which a common column differs, then other metadata."""
     r, out = {f.name: f for f in right.schema.fields}, []
     for f in left.schema.fields:
         if (g := r.get(f.name)) is None:
             continue
+        a, b = signature(f), signature(g)
         if f.dataType != g.dataType:
             out.append(Difference(3, "type", f.name, f.dataType.simpleString(), g.dataType.simpleString()))
-        elif f.nullable != g.nullable:
-            out.append(Difference(3, "nullable", f.name, str(f.nullable), str(g.nullable)))
+        elif differing := [k for k in SIGNATURE if a[k] != b[k]]:
+            out.append(Difference(3, differing[0], f.name, a[differing[0]], b[differing[0]]))
         elif f.metadata != g.metadata:
             out.append(Difference(3, "metadata", f.name, str(f.metadata), str(g.metadata)))
     return out
@@ -143,12 +164,23 @@ def narrowest_key(candidates: Sequence[tuple[Sequence[str], bool]]) -> list[str]
 
 Rule = Callable[[Difference], bool]
 
-#: Deviations that may be accepted by name; each turns MATCH into MATCH*.
+_MANAGED = ("row_hash", "_timestamp", "_deleted_in_source", "_source")
+
+
+def _managed_order(d: Difference) -> bool:
+    """Only managed columns changed places: the others stand as they did."""
+    left, right = ([c for c in x.split(",") if c not in _MANAGED] for x in (d.left, d.right))
+    places = all((a in _MANAGED) == (b in _MANAGED) for a, b in zip(d.left.split(","), d.right.split(",")))
+    return d.kind == "reordered" and left == right and places
+
+
+#: Recorded deviations, by name; each turns MATCH into MATCH*. They are bound to the columns that a load adds, and to
+#: reserved names, and hold in one direction.
 DEVIATIONS: dict[str, Rule] = {
-    "surplus_managed_column": lambda d: d.kind == "surplus" and d.column in ("_timestamp", "_deleted_in_source", "row_hash", "_source"),
-    "nullability": lambda d: d.kind == "nullable",
-    "integer_width": lambda d: d.kind == "type" and {d.left, d.right} <= {"smallint", "int", "bigint"},
-    "text_width": lambda d: d.kind == "type" and d.left.startswith(("varchar", "string")) and d.right.startswith(("varchar", "string")),
+    "deleted_flag_not_null": lambda d: d.kind == "nullable" and d.column == "_deleted_in_source" and (d.left, d.right) == ("True", "False"),
+    "reserved_column_typed": lambda d: d.kind == "type" and d.column.startswith("_") and d.column not in _MANAGED and d.left == "string" != d.right,
+    "managed_column_added": lambda d: d.kind == "surplus" and d.column in ("row_hash", "_timestamp", "_deleted_in_source"),
+    "managed_columns_reordered": _managed_order,
 }
 
 
@@ -167,23 +199,29 @@ def compare(name: str, left: DataFrame | None, right: DataFrame | None, keys: Se
             rest = [d for d in found if d not in taken]
             report.levels.append(LevelResult(k, not rest, differences=rest, accepted=taken))
 
-        a, b = left.count(), right.count()
-        level(1, [] if a == b else [Difference(1, "rows", "", str(a), str(b))])
-        level(2, column_differences(left.columns, right.columns))
-        level(3, type_differences(left, right))
         lt, rt = dict(left.dtypes), dict(right.dtypes)
         common = [c for c in left.columns if c in rt and c not in set(volatile)]
         same = [c for c in common if lt[c] == rt[c]]
-        found = checksum_differences(left.select(*same), right.select(*same), same).collect()
-        level(4, [Difference(4, r["measure"], r["column"], str(r["left"]), str(r["right"])) for r in sorted(found, key=lambda r: (r["column"], r["measure"])) if r["column"]])
+        # one aggregate over each table gives the counts and all checksums: a row for each measure
+        a, b = ({(r["column"], r["measure"]): r["value"] for r in checksums(x.select(*[f"`{c}`" for c in same]), same).collect()} for x in (left, right))
+        rows = ("", "row_count")
+        level(1, [] if a[rows] == b[rows] else [Difference(1, "rows", "", a[rows], b[rows])])
+        level(2, column_differences(left.columns, right.columns))
+        level(3, type_differences(left, right))
+        level(4, [Difference(4, m, c, str(a[c, m]), str(b[c, m])) for c, m in sorted(a) if (c, m) != rows and a[c, m] != b[c, m]])
         if not keys or any(k not in common for k in keys):
             report.levels.append(LevelResult(5, True, "no key"))
             return report
         status = row_status(left, right, keys, same, stored_hash if stored_hash in common else None)
-        n = row_counts(status).first().asDict()
-        level(5, [Difference(5, k, "", str(v), "") for k, v in n.items() if v])
-        if not report.levels[-1].passed:
-            report.samples = [r.asDict() for r in row_samples(status, keys, samples).collect()]
+        # the join runs once: rows that differ are kept for the counts and the samples
+        status = status.where(~F.col("in_left") | ~F.col("in_right") | F.col("stored_differs") | F.col("content_differs")).persist(StorageLevel.DISK_ONLY)
+        try:
+            n = row_counts(status).first().asDict()
+            level(5, [Difference(5, k, "", str(v), "") for k, v in n.items() if v])
+            if not report.levels[-1].passed:
+                report.samples = [r.asDict() for r in row_samples(status, keys, samples).collect()]
+        finally:
+            status.unpersist()
     except Exception as e:  # a report, not a crash: the caller compares many tables
         report.error = f"{type(e).__name__}: {str(e)[:500]}"
     return report

@@ -35,10 +35,16 @@ def adopt_new_columns(target: DataFrame, source: DataFrame) -> DataFrame:
     return target.select(*[F.col(f"`{c}`") if c in target.columns else F.lit(None).cast(types[c]).alias(c) for c in order])
 
 
+def ensure_managed(target: DataFrame, hash_column: str = "row_hash", flag: str = "_deleted_in_source", stamp: str = "_timestamp") -> DataFrame:
+    """The target with the managed columns it lacks at its end: hash and stamp NULL, the flag false."""
+    new = {hash_column: F.lit(None).cast("string"), stamp: F.lit(None).cast("string"), flag: F.lit(False)}
+    return target.withColumns({c: x for c, x in new.items() if c not in target.columns})
+
+
 def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Staged rows replace or join the target's by key. Only the key's columns take part in the
     shuffle's condition; the target's side keeps all columns, once."""
-    kept = target.join(staged.select(*keys), list(keys), "left_anti")
+    kept = target.join(staged.select(*[F.col(f"`{k}`") for k in keys]), list(keys), "left_anti")
     return kept.select(*target.columns).unionByName(align(staged, target.columns, dict(target.dtypes)))
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 def coalesce_window(updated: Column, created: Column | None, since: str, zero: str | None = None) -> Column:
     """The row's time of change, or of creation where that is missing or the zero date, is not before since."""
     changed = F.nullif(updated, F.lit(zero)) if zero is not None else updated
-    return (F.coalesce(changed, created) if created is not None else changed) >= F.lit(since)
+    if created is None:
+        return (updated >= F.lit(since)) & (changed >= F.lit(since)) if zero is not None else changed >= F.lit(since)
+    # the first condition follows from the second, and unlike it reaches the scan
+    return ((updated >= F.lit(since)) | (created >= F.lit(since))) & (F.coalesce(changed, created) >= F.lit(since))
 
 
 def either_window(a: Column, b: Column, since: object) -> Column:
@@ -20,9 +23,10 @@ def either_window(a: Column, b: Column, since: object) -> Column:
 
 
 def above_watermark(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Source rows above the target's greatest key; all rows where it has none."""
-    mark = target.agg(F.max(key).alias("_mark"))
-    return source.join(F.broadcast(mark), F.col("_mark").isNull() | (F.col(key) > F.col("_mark"))).select(*source.columns)
+    """Source rows above the target's greatest key; all rows where it has none. The mark is one value, read first, so that
+    the filter is on a literal and reaches the scan."""
+    mark = target.agg(F.max(F.col(f"`{key}`"))).first()[0]
+    return source if mark is None else source.where(F.col(f"`{key}`") > F.lit(mark))
 
 
 def children_of(children: DataFrame, parents: DataFrame, foreign_key: str, parent_key: str, in_window: Column) -> DataFrame:
@@ -49,16 +53,19 @@ def day_number(c: Column) -> Column:
 
 
 def cutoff(now: datetime, lookback_hours: float | None = None, days_back: int | None = None, deep: bool = False) -> datetime:
-    """Start of the window: hours back if given; else, deep, 1 January of this year from July on and of
-    last year before; else whole days back, 14 if not given."""
-    if lookback_hours is not None:
-        return now - timedelta(hours=lookback_hours)
-    if deep:
+    """The window's first day, at midnight: hours back if given and not 0; else, deep, 1 January of this year from
+    July on and of last year before; else days back, 14 if not given or 0."""
+    if not lookback_hours and deep:
         return datetime(now.year if now.month >= 7 else now.year - 1, 1, 1)
-    day = now - timedelta(days=14 if days_back is None else days_back)
+    day = now - (timedelta(hours=lookback_hours) if lookback_hours else timedelta(days=days_back or 14))
     return day.replace(hour=0, minute=0, second=0, microsecond=0)
 
 
+def cutoff_value(since: datetime, dialect: str) -> str | int:
+    """A cutoff as the dialect's columns hold it: days since 1899-12-30 for Firebird, text for others."""
+    return (since - datetime(1899, 12, 30)).days if dialect == "firebird" else since.strftime("%Y-%m-%d %H:%M:%S")
+
+
 def literal(value: object, dialect: str = "postgres") -> str:
     """A value in a dialect's SQL: numbers bare, text in doubled apostrophes; MySQL doubles backslashes too."""
     if value is None:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.naming import target_column_names
 from ..operators.merge import assert_unique, replace_slice
-from ..operators.partitions import route, unique_key
+from ..operators.partitions import effective_spec, route, unique_key
 from ..sources.store import TargetStore
 from ..sources.tables import project, select_columns
 from . import strategies as st
-from .config import LoadConfig, parse, redact, required_columns, resolve_method
+from .config import ConfigError, LoadConfig, LoadSettings, parse, redact, required_columns, resolve_method, retried
 
 STATUS = T.StructType(
     [
@@ -54,53 +58,72 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
     if not chosen:
         return spark.createDataFrame([_row(c, "", "nothing_selected")], STATUS)
     method = resolve_method(s)
+    if len(chosen) > 1 and method != "full_by_source":
+        raise ConfigError(f"{c.table}: several sources need method full_by_source, not {method}")
     rows, failed = [], []
 
     def narrowed(df: DataFrame) -> DataFrame:
+        """The selected rows and columns, under the target's names."""
         cols = select_columns(df.columns, list(s.only_columns) or None, list(s.exclude_columns), required_columns(s, df.columns))
-        return project(df, cols, surrogate=s.surrogate)
+        out = project(df, cols, where=s.where_clause, surrogate=s.surrogate)
+        return out.toDF(*names_of(out.columns).values())
+
+    def names_of(columns) -> dict[str, str]:
+        return target_column_names(columns, [w.upper() for w in s.reserved_words], s.hash_column)[0]
 
     def plan(df: DataFrame, target: DataFrame | None) -> st.LoadPlan:
+        t, d = named(s, df.columns, names_of), st.Declared(c.dialect, named_types(c.types, df.columns, names_of))
         df = narrowed(df)
         if method == "incremental":
-            return st.incremental(df, target, s, stamp, now)
+            return st.incremental(df, target, t, stamp, now, d)
         if method == "hash":
-            return st.hash_diff(df, target, s, stamp)
+            return st.hash_diff(df, target, t, stamp, d)
         if method == "id_watermark":
-            return st.id_watermark(df, target, s, stamp)
+            return st.id_watermark(df, target, t, stamp, d)
         if method == "parent_incremental":
-            return st.parent_incremental(df, target, parents, target_parents, s, stamp, now)
-        return st.full(df, target, s, stamp)
+            return st.parent_incremental(df, target, parents, target_parents, t, stamp, now, d)
+        return st.full(df, target, t, stamp, d=d)
 
     def current() -> DataFrame | None:
         # the partition follows from the row, so that a changed row moves
         df = store.read()
-        return df.drop("_partition") if df is not None and s.partition else df
+        return df.drop("_partition") if df is not None else df
 
     def write(out: DataFrame, keys: list[str]) -> str:
-        version = store.stage(route(out, s.partition) if s.partition else out, ["_partition"] if s.partition else None)
-        if s.key:
-            assert_unique(store.read_version(version), unique_key(keys, s.partition))
+        before = store.read()
+        exists, held = before is not None, partition_of(before)
+        spec, warning = effective_spec(named(s, out.columns, names_of).partition, exists, held)
+        if warning:
+            warnings.warn(f"{c.table}: {warning}", stacklevel=2)
+        version = store.stage(route(out, spec) if spec else out, ["_partition"] if spec else None)
+        if keys:
+            assert_unique(store.read_version(version), unique_key(keys, spec))
         return version
 
+    def partition_of(before: DataFrame | None) -> str | None:
+        return s.partition.column if s.partition and before is not None and "_partition" in before.columns else None
+
     def failure(name: str, e: Exception) -> None:
         failed.append(name)
         rows.append(_row(c, name, "error", status="error", error=redact(f"{type(e).__name__}: {str(e)[:400]}")))
 
     if method == "full_by_source":
-        _slices(spark, c, {n: df for n, df in chosen.items()}, narrowed, current(), store, fingerprints, stamp, write, rows, failure)
+        _slices(spark, c, {n: df for n, df in chosen.items()}, narrowed, names_of, current(), store, fingerprints, stamp, write, rows, failure)
     else:
         for name, df in chosen.items():
             try:
-                p = plan(df, current())
+                p = retried(lambda df=df: plan(df, current()), s.read_retry_attempts, s.read_retry_base_delay)
                 if p.staged is None:
                     rows.append(_row(c, name, p.method, reason=p.fallback_reason))
                     continue
-                version = write(p.target, [s.key] if s.key else [])
-                written = p.rows_staged()
-                p.release()
+                try:
+                    key = named(s, df.columns, names_of).key
+                    version = retried(lambda p=p, key=key: write(p.target, [key] if key else []), s.read_retry_attempts, s.read_retry_base_delay)
+                    read, written = counted(p, store.read_version(version), stamp)
+                finally:
+                    p.release()
                 store.publish(version)
-                rows.append(_row(c, name, p.method, incremental=p.incremental, read=written, written=written, present=written > 0, reason=p.fallback_reason))
+                rows.append(_row(c, name, p.method, incremental=p.incremental, read=read, written=written, present=written > 0, reason=p.fallback_reason))
             except Exception as e:  # one source's failure is that source's row
                 failure(name, e)
     status = spark.createDataFrame(rows, STATUS)
@@ -109,13 +132,41 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
     return status
 
 
-def _slices(spark, c, chosen, narrowed, target, store, fingerprints, stamp, write, rows, failure) -> None:
+def named(s: LoadSettings, columns, names_of) -> LoadSettings:
+    """The settings under the target's names; the condition on the source has been applied."""
+    names = {k.lower(): v for k, v in names_of(columns).items()}
+    one = lambda x: names.get(x.lower(), x) if x else x
+    many = lambda xs: tuple(one(x) for x in xs)
+    return replace(
+        s, where_clause=None, key=one(s.key), updated_column=one(s.updated_column), created_column=one(s.created_column), date_column=one(s.date_column), foreign_key=one(s.foreign_key),
+        batch_column=one(s.batch_column), hash_include=many(s.hash_include), hash_exclude=many(s.hash_exclude), fingerprint_stamp=one(s.fingerprint_stamp), fingerprint_columns=many(s.fingerprint_columns),
+        partition=replace(s.partition, column=one(s.partition.column)) if s.partition else None,
+    )
+
+
+def named_types(types: Mapping[str, str], columns, names_of) -> dict[str, str]:
+    declared, names = {k.lower(): t for k, t in types.items()}, names_of(columns)
+    return {names[x]: declared[x.lower()] for x in columns if x.lower() in declared}
+
+
+def counted(p: st.LoadPlan, version: DataFrame, stamp: str) -> tuple[int, int]:
+    """Rows read and written, of what was written: the source is not read again, so that both are of one state."""
+    if p.status is not None:
+        n = p.status_counts()
+        return n["source_rows"], n["added"] + n["changed"]
+    n = version.where(F.col(st.STAMP) == stamp).count() if p.incremental else version.count()
+    return n, n
+
+
+def _slices(spark, c, chosen, narrowed, names_of, target, store, fingerprints, stamp, write, rows, failure) -> None:
     """Each source's slice is staged by itself, so that one may fail alone; then the target is written once,
     with all slices that succeeded, and published."""
-    s, ready, prints = c.settings, {}, []
+    ready, prints = {}, []
     for name, df in chosen.items():
         try:
-            parts, new, skipped = st.slice_plans({name: narrowed(df)}, target, s, stamp, fingerprints.read() if fingerprints else None)
+            s = named(c.settings, df.columns, names_of)
+            d = st.Declared(c.dialect, named_types(c.types, df.columns, names_of))
+            parts, new, skipped = st.slice_plans({name: narrowed(df)}, target, s, stamp, fingerprints.read() if fingerprints else None, d)
             if skipped:
                 rows.append(_row(c, name, "unchanged"))
                 continue

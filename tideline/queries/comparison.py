@@ -34,10 +34,15 @@ def _measures(col: str, parts: dict[str, str], source: str) -> str:
     return " UNION ALL ".join(f"SELECT '{col}' AS \"column\", '{m}' AS measure, {x} AS value FROM {source}" for m, x in parts.items())
 
 
-def _numeric(c: str, x: str | None = None) -> dict[str, str]:
-    x = x or c
-    dec = lambda f: f"cast(cast({f}({x}) AS decimal(38,6)) AS varchar)"
-    return {"nulls": f"cast(count(*) FILTER ({c} IS NULL) AS varchar)", "sum": f"cast(cast(sum(cast({x} AS decimal(28,6))) AS decimal(38,6)) AS varchar)", "min": dec("min"), "max": dec("max")}
+def _numeric(c: str) -> dict[str, str]:
+    return {"nulls": f"cast(count(*) FILTER ({c} IS NULL) AS varchar)", **{m: f"cast({m}({c}) AS varchar)" for m in ("sum", "min", "max")}}
+
+
+def _float(c: str) -> dict[str, str]:
+    """Doubles whose shortest text is without an exponent."""
+    x = f"(CASE WHEN isfinite({c}) THEN {c} END)"
+    t = f"cast({x} AS varchar)"
+    return {"nulls": f"cast(count(*) FILTER ({c} IS NULL) AS varchar)", "min": f"cast(min({x}) AS varchar)", "max": f"cast(max({x}) AS varchar)", "h1": _h(1, t), "h2": _h(9, t), "nonfinite": f"cast(count(*) FILTER ({c} IS NOT NULL AND NOT isfinite({c})) AS varchar)"}
 
 
 def _text(c: str) -> dict[str, str]:
@@ -59,13 +64,34 @@ def checksum_numeric(spark, sf):
     return checksums(orders(spark, sf), ["o_orderkey", "o_custkey"])
 
 
-@query("WITH e AS (SELECT CASE WHEN event_id % 100 = 1 THEN 'nan'::DOUBLE WHEN event_id % 100 = 2 THEN 'inf'::DOUBLE WHEN event_id % 100 = 3 THEN NULL ELSE value END AS v FROM events) " + _sql("e", v=_numeric("v", "(CASE WHEN isfinite(v) THEN v END)") | {"nonfinite": "cast(count(*) FILTER (v IS NOT NULL AND NOT isfinite(v)) AS varchar)"}))
+@query("WITH e AS (SELECT CASE WHEN event_id % 100 = 1 THEN 'nan'::DOUBLE WHEN event_id % 100 = 2 THEN 'inf'::DOUBLE WHEN event_id % 100 = 3 THEN NULL ELSE value END AS v FROM events) " + _sql("e", v=_float("v")))
 def checksum_float(spark, sf):
     k = F.col("event_id") % 100
     v = F.when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 3, None).otherwise(F.col("value"))
     return checksums(read_table(spark, sf, "events").select(v.alias("v")), ["v"])
 
 
+_SMALL = "WITH o AS (SELECT cast(o_orderkey AS decimal(20,0)) AS k FROM orders), e AS (SELECT k * 100000 + 7 AS wide, cast(cast(k AS varchar) || '.000000000000000001' AS decimal(38,18)) AS fine, cast(k AS decimal(18,4)) AS price FROM o) "
+
+
+@query(_SMALL + "SELECT 'fine' AS \"column\", cast(sum(cast(trunc(fine) AS decimal(38,0))) AS varchar) || '+' || cast(cast(count(*) AS decimal(20,0)) * cast('0.000000000000000001' AS decimal(18,18)) AS varchar) AS total FROM e UNION ALL SELECT 'price', cast(sum(price) AS varchar) FROM e UNION ALL SELECT 'wide', cast(sum(wide) AS varchar) FROM e")
+def checksum_exact_decimals(spark, sf):
+    """Sums at the column's own scale; parts of wide ones are shown without the part of 10**19, which is 0 here."""
+    k = F.col("o_orderkey")
+    e = orders(spark, sf).select((k.cast("decimal(27,0)") * 100000 + 7).cast("decimal(38,0)").alias("wide"), F.concat(k.cast("string"), F.lit(".000000000000000001")).cast("decimal(38,18)").alias("fine"), k.cast("decimal(18,4)").alias("price"))
+    return checksums(e).where("measure = 'sum'").select("column", F.regexp_replace("value", r"^0[+]", "").alias("total"))
+
+
+@query("SELECT 'DIFF' AS tiny, 'DIFF' AS huge, 'MATCH' AS same")
+def checksum_sees_small_and_large_doubles(spark, sf):
+    """1e-9 against 2e-9 and 1e25 against 2e25 in one row of a whole table."""
+    o = orders(spark, sf)
+    least = o.agg(F.min("o_orderkey")).first()[0]
+    table = lambda v: o.select(F.when(F.col("o_orderkey") == least, v).otherwise(F.col("o_totalprice")).alias("v"))
+    verdicts = [cmp.compare("t", table(a), table(b)).verdict for a, b in ((1e-9, 2e-9), (1e25, 2e25), (1e25, 1e25))]
+    return spark.createDataFrame([tuple(verdicts)], "tiny string, huge string, same string")
+
+
 @query("WITH e AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS b FROM orders) " + _sql("e", b={"nulls": "cast(count(*) FILTER (b IS NULL) AS varchar)", "true": "cast(count(*) FILTER (b) AS varchar)", "false": "cast(count(*) FILTER (NOT b) AS varchar)"}))
 def checksum_boolean(spark, sf):
     return checksums(orders(spark, sf).select(F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderkey") % 2 == 0).alias("b")), ["b"])
@@ -86,7 +112,7 @@ def checksum_binary(spark, sf):
     return checksums(read_table(spark, sf, "customer").select(F.encode("c_name", "utf-8").alias("b")), ["b"])
 
 
-_ALL = {"o_orderkey": _numeric("o_orderkey"), "o_custkey": _numeric("o_custkey"), "o_orderstatus": _text("o_orderstatus"), "o_totalprice": _numeric("o_totalprice") | {"nonfinite": "min('0')"}, "o_orderdate": _temporal("o_orderdate"), "o_orderpriority": _text("o_orderpriority")}
+_ALL = {"o_orderkey": _numeric("o_orderkey"), "o_custkey": _numeric("o_custkey"), "o_orderstatus": _text("o_orderstatus"), "o_totalprice": _float("o_totalprice"), "o_orderdate": _temporal("o_orderdate"), "o_orderpriority": _text("o_orderpriority")}
 
 
 @query(_sql("orders", **_ALL))

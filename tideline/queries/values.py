@@ -205,16 +205,22 @@ def array_literal(spark, sf):
     return read_table(spark, sf, "orders").select("o_orderkey", c.array_literal(F.array("o_orderstatus", k)).alias("a"))
 
 
-@query("SELECT i, r FROM (VALUES (0, 'příliš'), (1, 'plain'), (2, NULL)) AS v(i, r)")
+@query("SELECT c_custkey, replace(c_name, 'Customer', 'Žluťoučký') AS utf8, replace(c_name, 'Customer', 'Žluťoučký') AS cascade, CASE WHEN c_custkey % 2 = 0 THEN 'příliš' ELSE 'žluť' END AS cp1250, 'a' || chr(65533) || 'b' AS broken, hex(encode(c_name)) AS kept FROM customer")
 def decode_bytes(spark, sf):
-    rows = spark.createDataFrame([(0, bytearray("příliš".encode("cp1250"))), (1, bytearray(b"plain")), (2, None)], "i int, b binary")
-    return rows.select("i", c.decode_bytes(F.col("b"), ("utf-8", "cp1250", "latin-1")).alias("r"))
+    """Whole columns of bytes: UTF-8, one order of encodings that begins with it, cp1250 first, bytes that UTF-8 lacks, and a
+    column whose target holds bytes."""
+    named = F.replace("c_name", F.lit("Customer"), F.lit("Žluťoučký"))
+    old = {n: F.unhex(F.lit(t.encode("cp1250").hex())) for n, t in (("even", "příliš"), ("odd", "žluť"))}
+    t = read_table(spark, sf, "customer").select("c_custkey", F.encode(named, "utf-8").alias("utf8"), F.encode(named, "utf-8").alias("cascade"), F.when(F.col("c_custkey") % 2 == 0, old["even"]).otherwise(old["odd"]).alias("cp1250"), F.unhex(F.lit("61ff62")).alias("broken"), F.encode("c_name", "utf-8").alias("kept"))
+    t = t.withColumn("cascade", c.decode_bytes(F.col("cascade"), ("utf-8", "cp1250", "latin-1"))).withColumn("cp1250", c.decode_bytes(F.col("cp1250"), ty.ENCODINGS["mssql"]))
+    return c.decode_bytes_columns(t, ty.ENCODINGS["mysql"], ["kept"]).withColumn("kept", F.hex("kept"))
 
 
-@query("SELECT i, r FROM (VALUES (0, '{\"a\":\"\\u017elu\\u0165\"}'), (1, '{\"a\":\"x\"}')) AS v(i, r)")
+@query("SELECT doc_id, '{\"t\":\"' || array_to_string(list_transform(string_split(regexp_replace(coalesce(lang, ''), '[^a-z]', '', 'g') || 'é😀' || cast(doc_id AS varchar), ''), lambda x: CASE x WHEN 'é' THEN '\\u00e9' WHEN '😀' THEN '\\ud83d\\ude00' ELSE x END), '') || '\"}' AS r FROM documents")
 def json_ascii(spark, sf):
-    rows = spark.createDataFrame([(0, "žluť"), (1, "x")], "i int, s string").select("i", F.struct(F.col("s").alias("a")).alias("s"))
-    return rows.select("i", c.to_json_text(F.col("s"), True).alias("r"))
+    """Characters over ASCII, one of them beyond 16 bits, in JSON of every row."""
+    t = F.concat(F.regexp_replace(F.coalesce("lang", F.lit("")), "[^a-z]", ""), F.lit("é😀"), F.col("doc_id").cast("string"))
+    return read_table(spark, sf, "documents").select("doc_id", c.to_json_text(F.struct(t.alias("t")), structured=True).alias("r"))
 
 
 @query("WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ' ' || o_custkey || ' ' WHEN o_orderkey % 7 = 0 THEN '3.5' ELSE cast(o_custkey AS varchar) END AS n, CASE WHEN o_orderkey % 11 = 0 THEN '0000-00-00' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'ano' ELSE 'maybe' END AS b, CASE WHEN o_orderkey % 5 = 0 THEN '  ' ELSE o_orderpriority END AS t FROM orders) SELECT o_orderkey AS k, CASE WHEN n = '3.5' THEN NULL ELSE trim(n) END AS n, CASE WHEN d = '0000-00-00' THEN NULL ELSE d END AS d, CASE WHEN b = 'ano' THEN true END AS b, CASE WHEN trim(t) <> '' THEN t END AS t, NULL::VARCHAR AS absent, false AS _deleted_in_source, 'now' AS _timestamp FROM x")
@@ -272,18 +278,38 @@ def missing_columns(spark, sf):
 # --- types --------------------------------------------------------------------------------------------
 
 
+# What each dialect's type names become, written out by target type, apart from the maps that are queried.
+_EXPECTED = {
+    "mysql": {
+        "INTEGER": "int integer smallint mediumint tinyint year", "BIGINT": "bigint", "BOOLEAN": "bit bool boolean", "REAL": "float", "DOUBLE PRECISION": "double,double precision",
+        "NUMERIC": "decimal dec numeric fixed", "VARCHAR": "varchar", "TEXT": "char tinytext text mediumtext longtext enum set binary varbinary geometry", "BYTEA": "blob tinyblob mediumblob longblob",
+        "DATE": "date", "TIMESTAMP": "datetime timestamp", "TIME": "time", "JSONB": "json",
+    },
+    "postgres": {
+        "INTEGER": "smallint integer int", "BIGINT": "bigint", "BOOLEAN": "boolean", "REAL": "real", "DOUBLE PRECISION": "double precision,", "NUMERIC": "numeric decimal", "VARCHAR": "character varying,", "BYTEA": "bytea",
+        "TEXT": "money,character,text,citext,uuid,interval,bit,bit varying,xml,inet,cidr,macaddr,macaddr8,tsvector,tsquery,point,line,lseg,box,path,polygon,circle,array,user-defined,int4range",
+        "DATE": "date", "TIMESTAMP": "timestamp without time zone,timestamp with time zone", "TIME": "time without time zone,time with time zone", "JSONB": "json jsonb",
+    },
+    "mssql": {
+        "INTEGER": "int integer smallint tinyint", "BIGINT": "bigint", "BOOLEAN": "bit", "REAL": "real", "DOUBLE PRECISION": "float", "NUMERIC": "decimal numeric money smallmoney", "VARCHAR": "varchar",
+        "TEXT": "char nchar nvarchar text ntext binary varbinary image uniqueidentifier xml sql_variant", "DATE": "date", "TIMESTAMP": "datetime datetime2 smalldatetime datetimeoffset", "TIME": "time", "JSONB": "json",
+    },
+}
+
+
 def _map_query(dialect: str):
-    pairs = [*ty.TYPE_MAPS[dialect].items(), ("no such type", "TEXT")]
+    names = lambda text: [x for x in text.split("," if "," in text else " ") if x]
+    pairs = [(n, target) for target, text in _EXPECTED[dialect].items() for n in names(text)]
 
     def run(spark, sf):
-        return spark.createDataFrame([(k,) for k, _ in pairs], "source_type string").withColumn("pg_type", ty.map_type_expr(dialect, F.col("source_type")))
+        return spark.createDataFrame([(k,) for k, _ in pairs], "source_type string").withColumn("pg_type", ty.map_type_expr(dialect, F.upper("source_type")))
 
     run.__name__ = f"type_map_{dialect}"
     return query(_values(pairs, "source_type, pg_type"))(run)
 
 
 type_map_mysql, type_map_postgres, type_map_mssql = map(_map_query, ("mysql", "postgres", "mssql"))
-FB = [(7, 0, 0, "INTEGER"), (8, 0, -2, "NUMERIC"), (16, 0, 0, "BIGINT"), (16, 1, 0, "NUMERIC"), (16, 2, -6, "NUMERIC"), (261, 1, 0, "TEXT"), (261, 0, 0, "BYTEA"), (10, 0, 0, "REAL"), (27, 0, 0, "DOUBLE PRECISION"), (12, 0, 0, "DATE"), (13, 0, 0, "TIME"), (35, 0, 0, "TIMESTAMP"), (23, 0, 0, "BOOLEAN"), (37, 0, 0, "TEXT"), (99, 0, 0, "TEXT")]
+FB = [(7, 0, 0, "INTEGER"), (8, 0, -2, "NUMERIC"), (16, 0, 0, "BIGINT"), (16, 1, 0, "NUMERIC"), (16, 2, -6, "NUMERIC"), (261, 1, 0, "TEXT"), (261, 0, 0, "BYTEA"), (10, 0, 0, "REAL"), (27, 0, 0, "DOUBLE PRECISION"), (12, 0, 0, "DATE"), (13, 0, 0, "TIME"), (35, 0, 0, "TIMESTAMP"), (23, 0, 0, "BOOLEAN"), (14, 0, 0, "TEXT"), (37, 0, 0, "VARCHAR"), (7, 0, -1, "NUMERIC"), (8, 0, 0, "INTEGER"), (16, 0, -3, "NUMERIC"), (99, 0, 0, "TEXT")]
 
 
 @query(_values(FB, "code, subtype, scale, pg_type"))
@@ -326,9 +352,14 @@ def column_stats(spark, sf):
     return stats.column_statistics(o, ["a", "b"])
 
 
-@query("SELECT o_orderkey, cast(o_custkey AS varchar) AS o_custkey FROM orders")
+@query("SELECT o_orderkey, cast(o_custkey AS varchar) AS a, cast(o_custkey AS varchar) AS b, o_custkey AS c, cast(o_custkey AS varchar) AS d, o_custkey AS e, o_custkey AS f FROM orders")
 def text_dtypes(spark, sf):
-    return ty.as_text(read_table(spark, sf, "orders").select("o_orderkey", "o_custkey"), {"o_custkey": "varchar"})
+    """A number under a type that a dialect reads as text, and under one that only another does."""
+    k = F.col("o_custkey")
+    o = read_table(spark, sf, "orders").select("o_orderkey", *[k.alias(x) for x in "abcdef"])
+    for dialect, types in (("mysql", {"a": "VARBINARY"}), ("postgres", {"b": "citext", "c": "varchar"}), ("mssql", {"d": "ntext", "e": "uniqueidentifier"}), ("firebird", {"f": "37"})):
+        o = ty.as_text(o, types, dialect)
+    return o
 
 
 @query('SELECT r_regionkey AS "R_REGIONKEY", r_name AS "R_NAME" FROM region')
