@@ -97,7 +97,7 @@ def ship(spark: SparkSession) -> None:
 _shipped: dict[str, bool] = {}
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, text: int = 1) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Deals Arrow batches anew by bytes of the text column: each slice holds about most_bytes at
     most, or a single longer text."""
     for b in batches:

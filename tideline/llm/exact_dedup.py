@@ -87,12 +87,22 @@ class QuotientFilter:
 
 
 def merge_sorted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted fingerprints with summed counts; each part is sorted already, which the sort exploits."""
-    prints, counts = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(prints, kind="stable")
-    prints, counts = prints[order], counts[order]
-    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
-    return prints[first], np.add.reduceat(counts, first)
+    """Sorted fingerprints with summed counts, of sorted parts that are merged two by two: each finds its places among the
+    other's by binary search, so that nothing is sorted anew."""
+    parts = list(parts)
+    while len(parts) > 1:
+        parts = [_merge_two(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _merge_two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each part's fingerprints are distinct; those in both add their counts."""
+    (x, n), (y, m) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    at = np.searchsorted(x, y)
+    both = (x[np.minimum(at, len(x) - 1)] == y) & (at < len(x)) if len(x) else np.zeros(len(y), bool)
+    n = n.copy()
+    n[at[both]] += m[both]
+    return np.insert(x, at[~both], y[~both]), np.insert(n, at[~both], m[~both])
 
 
 def repeated_fingerprints(prints: DataFrame, segment_bits: int) -> DataFrame:
@@ -172,7 +182,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical without white space. Of equal ones the row of most code points in
     its original text, then of the smallest id, stays; a null id comes last. Null text is empty, and
     empty texts are equal. Rows that repeat the id and length of the row that stays are all marked
-    kept (keep_first() leaves one). Other columns are ignored; an empty table gives an empty one.
+    kept (keep_first() leaves one). Texts of any length are compared whole. Other columns are ignored; an empty table gives an empty one.
 
     Texts are read twice and shuffled only where their fingerprint repeats, one copy for each task;
     a group of any size costs one row for each task. Labels join by (fp, digest), where adaptive
@@ -185,7 +195,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one for each group of equal texts, with their columns."""
+    """The rows of docs that stay, one for each group of equal texts, with their columns.
+
+    Null texts count as empty, and empty texts are one group; a null id comes last; of rows that repeat the id and length
+    of the one that stays, one remains; texts of any length are compared whole; an empty table stays empty."""
     _, groups = duplicate_groups(docs, id_col, text_col)
     columns = [F.col(f"_row.`{c}`") for c in docs.columns]
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_cp"), squeezed(F.col(text_col)).alias("_norm"))

@@ -166,8 +166,8 @@ def pack(pieces: DataFrame, capacity: Capacity, select: str = "norm") -> DataFra
 def best_fit_packing(docs: DataFrame, tokenizer_file: str, capacity: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, select: str = "norm") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Pieces of at most capacity.tokens; documents and attention costs are bounded too. Null text is
-    empty (its piece is the end id); null ids are kept; repeated rows are packed each; other columns
+    Pieces of at most capacity.tokens; documents and attention costs are bounded too. Texts of any length
+    are encoded whole. Null text is empty (its piece is the end id); null ids are kept; repeated rows are packed each; other columns
     are ignored; an empty table gives an empty one.
     """
     most = min(capacity.tokens, int(np.floor(np.sqrt(capacity.vector()[2]))))

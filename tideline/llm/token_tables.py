@@ -31,7 +31,7 @@ def write_token_tables(docs: DataFrame, tokenizer_file: str, folder: str, id_col
     complete, so a repeated or speculative task replaces its own files by equal ones. Returns the
     manifest (shard, part, file, n_docs, n_tokens, n_bytes), itself a table in the shared folder.
 
-    Null text: empty. Null ids come first. Rows of equal id are ordered by text, and all are kept.
+    Null text: empty. Very long texts are encoded whole, piece by piece. Null ids come first. Rows of equal id are ordered by text, and all are kept.
     Other columns are ignored. No rows: no file and an empty manifest.
     """
     spark = docs.sparkSession

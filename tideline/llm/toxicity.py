@@ -145,8 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
     """Fits on documents with a label for which usable holds (a condition on the column doc_id).
 
     What reaches the driver is bounded: the counts of the chosen buckets (settings.features), then the
-    known buckets of at most settings.train_rows texts. Nulls of id, text or label take no part;
-    an id with several labels counts as toxic if one of them says so.
+    known buckets of at most settings.train_rows texts, each read whole. Nulls of id, text or label take no part;
+    an id with several labels counts as toxic if one of them says so; of rows that repeat an id the least text is
+    taken; other columns are ignored. Without labelled rows, or with labels of one kind, the model says that kind
+    of every text (without any: clean).
     """
     ship(docs.sparkSession)
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
@@ -155,8 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
         named = named.where(usable)
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    # at most train_rows pairs of two numbers: a bounded broadcast
-    sample = texts.join(F.broadcast(chosen), "doc_id")
+    # at most train_rows pairs of two numbers: a bounded broadcast; one text for each
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = materialize(sample, "labelled-texts")
 
     def count(batches):
         terms, total = Terms(settings.buckets), np.zeros((2, settings.buckets), np.int64)
@@ -201,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every whole text; null text is empty and scores what no term
-    says, the model's bias. Null ids are kept, repeated rows scored each, other columns ignored."""
+    says, the model's bias. Texts of any length are scored whole. Null ids are kept, repeated rows scored each, other columns
+    ignored; an empty table gives an empty one."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -222,7 +226,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model does not reject, with their columns, in one pass without a join."""
+    """The rows of docs that the model does not reject, with their columns, in one pass without a join. Null and empty
+    texts score the model's bias; null ids and repeated rows are kept by their texts alone; very long texts are scored whole,
+    in slices of terms; columns of any name pass through; an empty table stays empty."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
