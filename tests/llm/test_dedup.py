@@ -170,6 +170,15 @@ def test_components(spark, monkeypatch, task_edges):
     assert got == {k: v for k, v in root.items() if k not in alone}
 
 
+def test_shingles_alone_in_their_cell(spark):
+    rng = random.Random(3)
+    rows = [(c, b, 100 * c + k, sorted({rng.randrange(-(1 << 63), 1 << 63) if rng.random() < 0.5 else (1 << 40) * rng.randrange(-40, 40) for _ in range(rng.randint(0, 30))})) for c, b in ((1, 1), (2, 7)) for k in range(25)]
+    got = {r["node"]: r["alone"] for r in jj.alone_in_cell(spark.createDataFrame(rows, "cell long, blocks int, node long, shingles array<long>").repartition(5)).collect()}
+    for c, _, node, own in rows:
+        others = {x for d, _, other, s in rows if d == c and other != node for x in s}
+        assert got.get(node, 0) == len(set(own) - others)
+
+
 def test_sets_of_one_node_are_parted(spark, make):
     """Forced collisions of the first hash: the second tells the sets apart, equal sets stay one node."""
     rows = [(1, 5, 7), (2, 5, 8), (3, 5, 7), (4, 6, 9), (5, 0, 0)]

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -350,9 +351,8 @@ def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col:
     # shingles that one node of the cell has alone: none of them is the hub's
     hubs = big.where("node = hub").select("cell", F.col("shingles").alias("hub_set"))
     held = big.where("node = hub").agg(F.sum("n")).first()[0] * 8
-    apart = big.join(F.broadcast(hubs) if held <= BROADCAST_BYTES else hubs, "cell").select("cell", "node", F.array_except("shingles", "hub_set").alias("apart"))
-    alone = apart.select("cell", "node", F.explode("apart").alias("s")).groupBy("cell", "s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
-    alone = alone.where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    apart = big.join(F.broadcast(hubs) if held <= BROADCAST_BYTES else hubs, "cell").select("cell", "blocks", "node", F.array_except("shingles", "hub_set").alias("apart"))
+    alone = alone_in_cell(apart)
     partner = F.greatest(F.ceil(F.col("n") * t.num / F.lit(float(t.den))), F.col("least"))
     need = F.ceil((F.col("n") + partner) * t.num / F.lit(float(t.num + t.den)))
     rest = rest.join(alone, "node", "left").where(F.col("n") - F.coalesce("alone", F.lit(0)) >= need)
@@ -368,6 +368,52 @@ def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col:
     return by_hub.unionByName(search(both, t))
 
 
+def alone_in_cell(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many of each node's shingles no other node of its cell has, of rows (cell, blocks, node, shingles).
+
+    Each shingle of a node is sent once, packed in one row for each batch, cell and range of hashes, of which a cell has as many as
+    it has blocks; a task counts one range at a time."""
+
+    def pack(batches):
+        for b in batches:
+            size = pc.list_value_length(b.column(3)).to_numpy()
+            s = b.column(3).flatten().to_numpy().view(np.uint64)
+            if not len(s):
+                continue
+            cell, blocks, node = (np.repeat(b.column(k).to_numpy(), size) for k in range(3))
+            part = ((s >> np.uint64(32)) * blocks.astype(np.uint64) >> np.uint64(32)).astype(np.int32)
+            order = np.lexsort((part, cell))
+            cell, part, node, s = cell[order], part[order], node[order], s[order].view(np.int64)
+            first = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])))
+            ends = pa.array(np.append(first, len(s)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(part[first]), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (node, s))], ["cell", "part", "nodes", "shingles"])
+        release()
+
+    def count(batches):
+        key, held = None, []
+
+        def counted():
+            node, s = (np.concatenate(x) for x in zip(*held))
+            _, at, times = np.unique(s, return_index=True, return_counts=True)
+            node, alone = np.unique(node[at[times == 1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(alone.astype(np.int64))], ["node", "alone"])
+
+        for b in batches:
+            for i, now in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if now != key:
+                    if held:
+                        yield counted()
+                    key, held = now, []
+                held.append(tuple(b.column(k)[i].values.to_numpy() for k in (2, 3)))
+        if held:
+            yield counted()
+        release()
+
+    packed = sets.mapInArrow(pack, "cell long, part int, nodes array<long>, shingles array<long>")
+    each = packed.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(count, "node long, alone long")
+    return each.groupBy("node").agg(F.sum("alone").alias("alone"))
+
+
 def rooted_rows(docs: DataFrame, threshold: tuple[int, int], width: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, n, root) of every row; root: the least node of its component, NULL for an empty set."""
     t = Threshold(*threshold)
