@@ -129,3 +129,15 @@ def test_retries():
     with pytest.raises(OSError):
         c.retried(lambda: work("timed out", 99), attempts=4, pause=pauses.append)
     assert len(calls) == 4
+
+
+def test_reads_and_targets():
+    from tideline.plans.run import progress
+
+    assert t.select_sql("[t]", {"id": "int", "n": "NVARCHAR"}, "mssql", "id > 1", "id", True) == "SELECT [id], CONVERT(VARCHAR(MAX), [n]) AS [n] FROM [t] WHERE (id > 1) ORDER BY [id]"
+    assert t.column_sql("n", "nvarchar", "mssql") == "[n]" and t.column_sql("n", "varchar", "mssql", True) == "[n]"
+    assert [t.batch_rows(100), t.batch_rows(100_000), t.batch_rows(10**9), t.batch_rows(10, 500)] == [10_000, 4000, 1000, 500]
+    assert c.resolve_target(("variable", None), ("profile", "b"), ("other", "c")) == "b"
+    with pytest.raises(c.ConfigError, match="variable, profile"):
+        c.resolve_target(("variable", ""), ("profile", None))
+    assert progress(1, 4, 10.0) == "1 of 4 (25 %), 30 s left" and progress(4, 4, 1) == "4 of 4 (100 %)"

@@ -297,3 +297,19 @@ def test_filters_reach_the_scan(spark, sf, capsys):
     assert "GreaterThan(o_orderkey" in capsys.readouterr().out
     o.where(p.coalesce_window(o["o_orderdate"], o["o_orderdate"], "1997-01-01")).explain("formatted")
     assert "GreaterThanOrEqual(o_orderdate" in capsys.readouterr().out
+
+
+def test_csv_and_scratch(spark, tmp_path):
+    from tideline.sources.store import drop_scratch, scratch_path, write_csv
+
+    write_csv(spark.createDataFrame([(1, 'a "q"\nb'), (2, None)], "id long, s string").coalesce(1), f"{tmp_path}/c")
+    text = next((tmp_path / "c").glob("part*.csv")).read_text()
+    assert text == '"id","s"\n"1","a ""q""\nb"\n"2",""\n'
+    at = scratch_path(f"file://{tmp_path}")
+    spark.range(3).write.parquet(at)
+    drop_scratch(spark, at)
+    assert not list(tmp_path.glob("tideline_scratch_*"))
+    for bad in (f"{tmp_path}/c", f"{at}/../c", ""):
+        with pytest.raises(ValueError):
+            drop_scratch(spark, bad)
+    assert (tmp_path / "c").exists()

@@ -6,6 +6,7 @@ UDF but decode_bytes for other encodings than UTF-8, which no built-in function
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -28,9 +29,6 @@ TIME_TYPES = ("time", "time without time zone", "time with time zone")
 EXACT_FLOAT_LIMIT = 2**53
 
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
-_ISO_STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?$"
-_US_DATE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
 
 
 def strip(c: Column) -> Column:
@@ -92,36 +90,27 @@ def to_bool(c: Column, kind: str = "text") -> Column:
     return c.cast("boolean")
 
 
-#: Spellings beside ISO's, with the pattern that reads them.
+#: Spellings beside ISO's, and how each is written as an ISO date; month first, and day first where the month would be over 12.
 _SPELLINGS = (
-    (r"^[0-9]{8}$", "yyyyMMdd"),
-    (r"^[0-9]{14}$", "yyyyMMddHHmmss"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/yyyy H:mm"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/yyyy H:mm:ss"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-yyyy"),
-    (r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$", "M.d.yyyy"),
-    (r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$", "d MMM yyyy"),
-    (r"^[0-9]{1,2}-[A-Z][a-z]{2}-[0-9]{4}$", "d-MMM-yyyy"),
-    (r"^[A-Z][a-z]{2} [0-9]{1,2},? [0-9]{4}$", "MMM d yyyy"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})$", "$1-$2-$3 $4:$5:$6"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3"),
+    (r"^(1[3-9]|2[0-9]|3[01])[/.-]([0-9]{1,2})[/.-]([0-9]{4})", "$3-$2-$1"),
+    (r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})", "$3-$1-$2"),
+    (r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}[0-9:.]*)(Z|[+-][0-9]{2}:?[0-9]{2})$", "$1"),
 )
-_ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})$"
+_WHOLE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?$"
 
 
 def parse_stamp(text: Column) -> Column:
     """Stripped text as a timestamp: ISO dates, ISO date and time with a space or T, whose zone is left out, and the
-    spellings above, month first; where the month would be over 12, day first. Anything else is NULL, and so are
-    times outside 1677-09-22 .. 2262-04-11."""
-    bare = F.when(text.rlike(_ZONED), F.regexp_replace(text, r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "")).otherwise(text)
-    iso = F.when(bare.rlike(_ISO_DATE) | bare.rlike(_ISO_STAMP), F.replace(bare, F.lit("T"), F.lit(" "))).try_cast("timestamp_ntz")
-    found = [iso]
-    for shape, pattern in _SPELLINGS:
-        given = F.when(text.rlike(shape), F.replace(text, F.lit(","), F.lit("")))
-        for one in (pattern, pattern.replace("M", "#").replace("d", "M").replace("#", "d")) if pattern.startswith("M") and "MMM" not in pattern else (pattern,):
-            found.append(F.try_to_timestamp(given, F.lit(one)).cast("timestamp_ntz"))
-    stamp = F.coalesce(*found)
-    return F.when((stamp >= F.lit("1677-09-22").cast("timestamp_ntz")) & (stamp < F.lit("2262-04-11").cast("timestamp_ntz")), stamp)
+    spellings above. Anything else is NULL, and so are times outside 1677-09-22 .. 2262-04-11. Each step refers to
+    the one before it once, so that the expression stays short however it is nested."""
+    for spelling, iso in _SPELLINGS:
+        text = F.regexp_replace(text, spelling, iso)
+    stamp = F.replace(F.regexp_extract(text, _WHOLE, 0), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    first, past = (F.lit(x).cast("timestamp_ntz") for x in ("1677-09-22", "2262-04-11"))
+    return F.get(F.filter(F.array(stamp), lambda x: (x >= first) & (x < past)), 0)
 
 
 def to_date_str(c: Column) -> Column:
@@ -209,6 +198,30 @@ def decode_bytes(c: Column, encodings: Sequence[str] = ("utf-8",)) -> Column:
     return F.coalesce(valid, decode(F.when(valid.isNull(), c))) if tried[0] == "utf-8" else decode(c)
 
 
+#: Letters without a decomposition that the single-byte code pages hold a base letter for.
+_BASE_LETTERS = {"ø": "o", "Ø": "O", "æ": "a", "Æ": "A", "ħ": "h", "ı": "i", "ŧ": "t"}
+
+
+def narrow_text(c: Column, encoding: str = "cp1250") -> Column:
+    """Text as a single-byte code page holds it: other letters become their base letter where there is one, else `?`. Plain
+    ASCII is left as it is; an Arrow function makes the rest."""
+    @F.pandas_udf(T.StringType())
+    def narrow(s: pd.Series) -> pd.Series:
+        def letter(x: str) -> str:
+            for y in (x, _BASE_LETTERS.get(x, ""), unicodedata.normalize("NFKD", x)[:1]):
+                try:
+                    if y and y.encode(encoding):
+                        return y
+                except UnicodeEncodeError:
+                    pass
+            return "?"
+
+        return s.map(lambda x: "".join(map(letter, x)), na_action="ignore")
+
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, c).otherwise(narrow(F.when(~plain, c)))
+
+
 def decode_bytes_columns(df: DataFrame, encodings: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
     """Binary columns as text, but for those in skip, whose target holds bytes."""
     binary = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)} - set(skip)

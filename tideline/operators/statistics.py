@@ -57,3 +57,13 @@ def declared_width(types: Sequence[tuple[str, int | None]]) -> int:
     """Bytes of a row by its declared columns: blob 200, varchar 50, char 10, others 8 unless a length is given; 256 if none."""
     default = {"blob": 200, "varchar": 50, "char": 10}
     return sum(200 if t == "blob" else n or default.get(t, 8) for t, n in types) or 256
+
+
+def index_columns(indexes: DataFrame, columns: DataFrame) -> DataFrame:
+    """(index, is_primary, position, column) of a catalog: indexes (index, is_unique, is_primary, numbers, an array of column
+    numbers in the key's order) and columns (number, column, nullable). Unique indexes over columns that are never NULL, in
+    full, are keys; others are left out."""
+    keys = indexes.where("is_unique").select("index", "is_primary", F.size("numbers").alias("width"), F.posexplode("numbers").alias("position", "number"))
+    named = keys.join(columns, "number").where(F.col("is_primary") | ~F.col("nullable"))
+    whole = named.groupBy("index").agg(F.count("*").alias("n"))
+    return named.join(whole, "index").where("n = width").select("index", "is_primary", (F.col("position") + 1).alias("position"), "column")

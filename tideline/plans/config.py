@@ -249,3 +249,12 @@ def retried(work: Callable[[], Any], attempts: int = 5, first: float = 5.0, most
                 raise
             pause(delay)
     return None
+
+
+def resolve_target(*given: tuple[str, str | None]) -> str:
+    """The address of the target: the first of (where it would stand, what stands there) that holds one; none is an error that
+    names all places."""
+    for _, value in given:
+        if value:
+            return value
+    raise ConfigError(f"no target: none of {', '.join(place for place, _ in given)} is set")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 import warnings
 from collections.abc import Mapping
 from dataclasses import replace
@@ -36,6 +38,16 @@ STATUS = T.StructType(
 )
 
 
+log = logging.getLogger("tideline")
+
+
+def progress(done: int, total: int, seconds: float) -> str:
+    """A line that says how far a run is, and when it will end at this rate."""
+    share = f"{100 * done / total:.0f} %" if total else "100 %"
+    left = f", {seconds * (total - done) / done:.0f} s left" if 0 < done < total else ""
+    return f"{done} of {total} ({share}){left}"
+
+
 class SourceError(RuntimeError):
     """Some sources failed; the others were loaded. `status` has a row for each."""
 
@@ -60,7 +72,7 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
     method = resolve_method(s)
     if len(chosen) > 1 and method != "full_by_source":
         raise ConfigError(f"{c.table}: several sources need method full_by_source, not {method}")
-    rows, failed = [], []
+    rows, failed, began = [], [], time.monotonic()
 
     def narrowed(df: DataFrame) -> DataFrame:
         """The selected rows and columns, under the target's names."""
@@ -103,6 +115,9 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
     def partition_of(before: DataFrame | None) -> str | None:
         return s.partition.column if s.partition and before is not None and "_partition" in before.columns else None
 
+    def tell(name: str, r: tuple) -> None:
+        log.info("%s %s: %s, %s rows; %s", c.table, name, r[2], r[5], progress(len(rows), len(chosen), time.monotonic() - began))
+
     def failure(name: str, e: Exception) -> None:
         failed.append(name)
         rows.append(_row(c, name, "error", status="error", error=redact(f"{type(e).__name__}: {str(e)[:400]}")))
@@ -124,6 +139,7 @@ def run(spark: SparkSession, raw: Mapping, sources: Mapping[str, DataFrame], sto
                     p.release()
                 store.publish(version)
                 rows.append(_row(c, name, p.method, incremental=p.incremental, read=read, written=written, present=written > 0, reason=p.fallback_reason))
+                tell(name, rows[-1])
             except Exception as e:  # one source's failure is that source's row
                 failure(name, e)
     status = spark.createDataFrame(rows, STATUS)

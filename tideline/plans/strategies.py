@@ -14,14 +14,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import declared_text_types, decode_bytes_columns, prepare_export
+from ..functions.clean import declared_text_types, decode_bytes_columns, narrow_text, prepare_export
 from ..functions.hashing import hash_columns, key_text, row_hash
 from ..operators import diff as d
 from ..operators import merge
 from ..operators.fingerprint import fingerprint, unchanged_slices
 from ..operators.predicates import above_watermark, children_of, coalesce_window, cutoff, cutoff_value, either_window
 from ..operators.statistics import promote
-from ..sources.types import ENCODINGS, as_text, cast_target, target_types
+from ..sources.types import ENCODINGS, NCHAR_TYPES, as_text, cast_target, target_types
 from .config import LoadSettings
 
 FLAG, STAMP = "_deleted_in_source", "_timestamp"
@@ -68,8 +68,12 @@ class Declared:
         return {**target_types(self.dialect, dict(self.types)), **self.promoted}
 
 
-def read_as_declared(source: DataFrame, d: Declared) -> DataFrame:
-    """Text types as text, and bytes decoded in the dialect's order where the target holds text."""
+def read_as_declared(source: DataFrame, d: Declared, convert_nchar: bool = False) -> DataFrame:
+    """Text types as text, bytes decoded in the dialect's order where the target holds text, and, if asked, text of two-byte
+    types as a single-byte code page holds it."""
+    if convert_nchar and d.dialect == "mssql":
+        wide = {c for c, t in d.types.items() if t.lower() in NCHAR_TYPES}
+        source = source.select(*[narrow_text(F.col(f"`{c}`")).alias(c) if c in wide else F.col(f"`{c}`") for c in source.columns])
     names = declared_text_types({c: t for c, t in d.types.items() if c in source.columns})
     held = [c for c, t in d.targets().items() if t == "BYTEA"]
     binary = [f.name for f in source.schema.fields if f.dataType.typeName() == "binary" and f.name not in d.types]
@@ -95,7 +99,7 @@ def prepare(source: DataFrame, s: LoadSettings, now: str, d: Declared | None = N
     if s.where_clause:
         source = source.where(s.where_clause)
     if d is not None and d.types:
-        source = read_as_declared(source, d)
+        source = read_as_declared(source, d, s.convert_nchar)
     cols = hash_columns(source.columns, s.hash_include or None, s.hash_exclude, s.hash_column)
     h = row_hash(source, [c for c in cols if c != s.batch_column]) if s.hashes else F.lit(None).cast("string")
     if s.hash_column not in source.columns:

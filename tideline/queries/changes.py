@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as h
+from ..functions.naming import target_column_names
 from ..operators import diff as d
 from ..operators import merge as m
 from ..operators import predicates as p
@@ -347,3 +348,34 @@ def fingerprint_skip(spark, sf):
     now = rows.join(F.broadcast(last), (F.col("_source") == "EUROPE") & (F.col("o_orderkey") == F.col("_last")), "left_anti")
     now = fingerprint(now, "o_orderkey", None, ["o_totalprice"], ["_source"])
     return unchanged_slices(now, before, rows.where("_source <> 'MIDDLE EAST'")).select("_source")
+
+
+_DIRTY = "WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 11 = 1 THEN NULL ELSE o_orderdate END AS d, o_custkey, o_orderpriority, o_orderkey % 2 = 0 AS even, CASE WHEN o_orderkey % 3 = 0 THEN 'a' || chr(10) || 'b' WHEN o_orderkey % 3 = 1 THEN 'c d' END AS note FROM orders) "
+
+
+@query(_DIRTY + "SELECT k AS order_no, CASE WHEN k % 11 < 2 THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS doc_date, cast(o_custkey + 2100000000 AS BIGINT) AS big, even AS flag, note, cast(o_custkey AS varchar) AS _select, 64::BIGINT AS hash_length, false AS _deleted_in_source FROM x")
+def load_of_a_dirty_table(spark, sf):
+    """The whole load path of method full over a table with names to clean, sentinel dates, an enumeration of 0 and 1, integers near
+    their limit, carriage returns, numbers declared as text, and rows that come again in a later batch."""
+    k = F.col("o_orderkey")
+    day = F.when(k % 11 == 0, "0000-00-00").when(k % 11 == 1, "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    note = F.when(k % 3 == 0, "a\r\nb").when(k % 3 == 1, "c\rd").otherwise("")
+    o = orders(spark, sf).select(k.alias("Order No"), day.alias("Doc Date "), (F.col("o_custkey") + 2100000000).cast("long").alias("big"), (1 - k % 2).cast("string").alias("flag"), note.alias("note"), F.col("o_custkey").alias("select"), F.lit(0).alias("part"))
+    again = o.where("`Order No` % 5 = 0").withColumn("part", F.lit(1)).withColumn("note", F.lit("later"))
+    settings = LoadSettings(key="order_no", batch_column="part")
+    names = {"Order No": "order_no", "Doc Date ": "doc_date", "select": "_select"}
+    found = target_column_names(o.columns, ["SELECT"])[0]
+    assert {a: found[a] for a in names} == names
+    source = o.unionByName(again).toDF(*found.values())
+    declared = st.Declared("mysql", {"order_no": "bigint", "doc_date": "date", "big": "int", "flag": "enum", "note": "text", "_select": "varchar"})
+    out = st.full(source, None, settings, NOW, d=declared).target
+    return out.select("order_no", F.date_format("doc_date", "yyyy-MM-dd").alias("doc_date"), "big", "flag", "note", "_select", F.length("row_hash").cast("long").alias("hash_length"), "_deleted_in_source")
+
+
+@query("SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN date_diff('day', DATE '1899-12-30', cast(o_orderdate AS date)) END, 0) >= 35795 OR coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 35800 END, 0) >= 35795")
+def older_window(spark, sf):
+    """The older shape of a window, over day numbers: either column on or after 1 January 1998."""
+    k = F.col("o_orderkey")
+    o = orders(spark, sf).select(k, F.when(k % 3 != 0, F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))).alias("a"), F.when(k % 2 == 0, 35800).alias("b"))
+    cond, _ = st.window(o, LoadSettings(date_column="a", created_column="b"), datetime(1998, 8, 1))
+    return o.where(cond).select("o_orderkey")

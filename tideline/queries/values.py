@@ -352,6 +352,25 @@ def column_stats(spark, sf):
     return stats.column_statistics(o, ["a", "b"])
 
 
+@query("SELECT * FROM (VALUES ('pk', true, 1, 'o_orderkey'), ('wide', false, 1, 'o_orderdate'), ('wide', false, 2, 'o_custkey')) AS v(index, is_primary, position, \"column\")")
+def catalog_keys(spark, sf):
+    """Keys of a catalog made of orders' own schema: a primary key, a unique index over two columns, one over a column that may
+    be NULL, one that is not unique."""
+    names = read_table(spark, sf, "orders").columns
+    at = {n: i for i, n in enumerate(names, 1)}
+    columns = spark.createDataFrame([(i, n, n == "o_orderstatus") for n, i in at.items()], "number int, column string, nullable boolean")
+    given = [("pk", True, True, ["o_orderkey"]), ("wide", True, False, ["o_orderdate", "o_custkey"]), ("open", True, False, ["o_custkey", "o_orderstatus"]), ("plain", False, False, ["o_custkey"])]
+    indexes = spark.createDataFrame([(n, u, p, [at[c] for c in cs]) for n, u, p, cs in given], "index string, is_unique boolean, is_primary boolean, numbers array<int>")
+    return stats.index_columns(indexes, columns)
+
+
+@query("SELECT c_custkey, 'příliš a-o-b ?' || cast(c_custkey AS varchar) AS r, c_name AS plain FROM customer")
+def nchar_narrowed(spark, sf):
+    """Letters of the code page stay, one has a base letter, one has none."""
+    t = read_table(spark, sf, "customer")
+    return t.select("c_custkey", c.narrow_text(F.concat(F.lit("příliš a-ø-b Ж"), F.col("c_custkey").cast("string"))).alias("r"), c.narrow_text(F.col("c_name")).alias("plain"))
+
+
 @query("SELECT o_orderkey, cast(o_custkey AS varchar) AS a, cast(o_custkey AS varchar) AS b, o_custkey AS c, cast(o_custkey AS varchar) AS d, o_custkey AS e, o_custkey AS f FROM orders")
 def text_dtypes(spark, sf):
     """A number under a type that a dialect reads as text, and under one that only another does."""

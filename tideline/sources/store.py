@@ -11,6 +11,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Scratch folders have names that begin so; nothing else is dropped as scratch.
+SCRATCH_PREFIX = "tideline_scratch_"
+
+
+def scratch_path(root: str) -> str:
+    return f"{root.rstrip('/')}/{SCRATCH_PREFIX}{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder; refuses any other path."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if not name.startswith(SCRATCH_PREFIX) or name == SCRATCH_PREFIX or ".." in path:
+        raise ValueError(f"{path!r} is not a scratch folder")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Rows as CSV: every value quoted, quotes doubled, a header in each file. NULL is an empty field, as empty text is, which the
+    target holds as NULL."""
+    df.write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
 class TargetStore:
     """One target. Paths are any that Hadoop's file systems know; only they are used."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.predicates import quote
+from .types import NCHAR_TYPES
 
 #: Drivers are the deployment's to provide; nothing here loads one.
 JDBC_DRIVERS = {"mysql": "com.mysql.cj.jdbc.Driver", "postgres": "org.postgresql.Driver", "mssql": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "firebird": "org.firebirdsql.jdbc.FBDriver"}
@@ -24,6 +25,25 @@ def table_address(dialect: str, table: str, schema: str | None = None, database:
     return ".".join(quote(p, dialect) for p in parts if p)
 
 
+def batch_rows(row_bytes: int, configured: int | None = None, most_bytes: int = 400_000_000, least: int = 1000) -> int:
+    """Rows fetched at once: as configured or 10,000, fewer where a batch would exceed most_bytes, never below least
+    unless fewer are configured, never more than configured."""
+    wanted = configured or 10_000
+    return min(wanted, max(least, most_bytes // max(1, row_bytes)))
+
+
+def column_sql(name: str, source_type: str, dialect: str, convert_nchar: bool = False) -> str:
+    """A column of a read, as the source's server is asked for it: two-byte text is converted there if wished."""
+    quoted = quote(name, dialect)
+    return f"CONVERT(VARCHAR(MAX), {quoted}) AS {quoted}" if convert_nchar and dialect == "mssql" and source_type.lower() in NCHAR_TYPES else quoted
+
+
+def select_sql(table: str, types: Mapping[str, str], dialect: str, where: str | None = None, order_by: str | None = None, convert_nchar: bool = False) -> str:
+    """The statement of a read, for the option `query`: columns in their order, the condition, and the order of a read that resumes."""
+    columns = ", ".join(column_sql(c, t, dialect, convert_nchar) for c, t in types.items())
+    return f"SELECT {columns} FROM {table}" + (f" WHERE ({where})" if where else "") + (f" ORDER BY {quote(order_by, dialect)}" if order_by else "")
+
+
 def jdbc_options(dialect: str, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, fetch_rows: int = 10_000, schema: str | None = None, database: str | None = None) -> dict[str, str]:
     """Options of spark.read.format("jdbc"): fixed ranges of the key make a read that is parallel and can be
     repeated, range by range, when a task fails."""
