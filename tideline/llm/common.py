@@ -69,7 +69,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     sees the same rows, and a lost executor costs no recomputation of what stands above."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and nothing will read again, before the driver ends."""
+    for df in tables:
+        _drop_hadoop(df.sparkSession, df._scratch)
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker; both hold one, for each task at work.

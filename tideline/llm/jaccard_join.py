@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, documents, materialize, release, rows_of, ship
+from .common import BROADCAST_BYTES, discard, documents, materialize, release, rows_of, ship
 from .components import components
 
 BLOCK_NODES, BLOCK_SHINGLES = 128, 2_000_000
@@ -311,7 +311,8 @@ def links(docs: DataFrame, profile: DataFrame, t: Threshold, width: int, id_col:
     cells = components(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = materialize(met.groupBy("node").agg(F.sum("shared").alias("shared")).join(cells.withColumnRenamed("root", "cell"), "node"), "members")
     reps = filled.groupBy("node", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")).select("node", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key"))
-    members = materialize(members.join(reps, "node"), "cell-members")
+    slim, members = members, materialize(members.join(reps, "node"), "cell-members")
+    discard(kept, met, slim)
 
     # the sets of these nodes, from one text of each
     wanted = members.select("node", "cell", "n", "shared", F.col("rep_id").alias("_id"), F.col("text_key").alias("_key"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release, rows_of, ship, table
+from .common import discard, documents, materialize, release, rows_of, ship, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -179,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
     rows = stats.where("bucket < 0").agg(F.sum("clean"), F.sum("toxic")).first()
     clean, toxic = float(rows[0] or 0), float(rows[1] or 0)
     if not clean or not toxic:
+        discard(sample, stats)
         return Model(settings.buckets, np.empty(0, np.int64), -6.0 if not toxic else 6.0, np.empty(0), np.empty((0, settings.factors)))
     share = toxic / (clean + toxic)
     seen = F.col("clean") + F.col("toxic")
@@ -197,6 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), u
         release()
 
     got = sample.select("text", "label", "doc_id").mapInArrow(pick, "doc_id long, label int, known array<int>").toArrow().sort_by("doc_id")
+    discard(sample, stats)
     flat = got.column("known").combine_chunks()
     ends = flat.value_lengths().to_numpy().cumsum()[:-1]
     return fit(np.split(flat.flatten().to_numpy(), ends) if len(flat) else [], (got.column("label").to_numpy() > 0).astype(np.float64), known, settings)
