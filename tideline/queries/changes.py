@@ -111,6 +111,14 @@ def row_hash_include_exclude(spark, sf):
     return o.select("o_orderkey", h.row_hash(o, cols).alias("row_hash"))
 
 
+@query("SELECT o_orderkey, sha256(concat_ws('||', " + ", ".join(f"coalesce(cast(o_custkey + {i} AS varchar), ''), coalesce(o_orderpriority || '{i}', '')" for i in range(24)) + ")) AS row_hash FROM orders")
+def row_hash_of_a_wide_table(spark, sf):
+    """48 columns, half of them text."""
+    wide = [x for i in range(24) for x in ((F.col("o_custkey") + i).alias(f"n{i}"), F.concat(F.col("o_orderpriority"), F.lit(str(i))).alias(f"t{i}"))]
+    o = orders(spark, sf).select("o_orderkey", *wide)
+    return o.select("o_orderkey", h.row_hash(o, o.columns[1:]).alias("row_hash"))
+
+
 @query("SELECT p_partkey, sha256(concat_ws('||', cast(cast(p_partkey AS double) AS varchar), cast(cast(p_size AS double) AS varchar), cast(p_retailprice AS varchar))) AS row_hash FROM part")
 def row_hash_promoted(spark, sf):
     t = read_table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
