@@ -258,6 +258,18 @@ def test_line_runs_and_nulls(make):
     assert ld.line_dedup(make(rows).limit(0)).count() == 0
 
 
+def test_windows_are_sent_once_and_alike_at_any_size(make, monkeypatch):
+    """No join changes its kind with the tables' size, and all windows are read for one of them alone."""
+    plans, write = [], ld.materialize
+    plan = lambda df: (df._jdf.queryExecution().executedPlan().toString(), any("line-windows" in f for f in df.inputFiles()))
+    monkeypatch.setattr(ld, "materialize", lambda df, name: plans.append(plan(df)) or write(df, name))
+    found = ld.repeats(make([(1, "a\nb\nc"), (2, "x\na\nb\nc")]))
+    plans.append(plan(found))
+    assert not [p for p, _ in plans if "Broadcast" in p]
+    assert sum(reads and "Join" in p for p, reads in plans) == 1
+    assert sorted(r["at"] for r in found.collect()) == [1, 2]
+
+
 # --- sharding -----------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, documents, materialize
+from .common import BROADCAST_BYTES, discard, documents, materialize
 
 
 def _lines(text: Column) -> Column:
@@ -68,10 +68,13 @@ def repeats(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col:
     every = materialize(windows(docs, window, id_col, text_col, long_words), "line-windows")
     prints = every.where("new").groupBy("print").agg(F.count("*").alias("n"))
     prints = materialize(prints.where("n > 1").select("print"), "line-prints")
-    posted = every.join(prints, "print", "left_semi")
+    # the windows are sent once, and by merge joins at any size, so that disk grows as the lines do
+    posted = every.join(prints.hint("merge"), "print", "left_semi").select("doc_id", "lines", "at", "span", "match", "check")
+    posted = materialize(posted, "line-posted")
+    discard(every, prints)
     first = posted.groupBy("match", "check").agg(F.min(F.struct("doc_id", "lines", "at")).alias("first"), F.count("*").alias("n"))
     first = materialize(first.where("n > 1").select("match", "check", "first"), "line-first")
-    later = posted.join(first, ["match", "check"]).where(F.struct("doc_id", "lines", "at") > F.col("first"))
+    later = posted.join(first.hint("merge"), ["match", "check"]).where(F.struct("doc_id", "lines", "at") > F.col("first"))
     return later.select("doc_id", "lines", "at", "span", F.col("first.doc_id").alias("source_id"), F.col("first.lines").alias("source_lines"), F.col("first.at").alias("source_at"))
 
 
